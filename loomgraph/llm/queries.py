@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import canonical, encoding, splitting, topn
+from loomgraph.llm import canonical, encoding, neardup, setpairs, splitting, topn
 from loomgraph.sources.tables import load
 
 QUERIES: dict = {}
@@ -17,6 +17,36 @@ def query(f):
     return f
 
 
+# 1: near-duplicates
+
+
+def _near(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.similar_texts(load(spark, folder, "chunks"), "chunk_id", "text", threshold=0.6, width=3, least_words=20)
+
+
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.expanded(*_pairs_of(_near(spark, folder), "chunk_id"), "chunk_a", "chunk_b")
+
+
+@query
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    members, links = _near(spark, folder)
+    return neardup.groups(members, "chunk_id", links)
+
+
+def _pairs_of(found: tuple[DataFrame, DataFrame], key: str) -> tuple[DataFrame, str, DataFrame]:
+    return found[0], key, found[1]
+
+
+_SHINGLES = """
+WITH RECURSIVE texts AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE text IS NOT NULL),
+shingles AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) >= 20)),
+sizes AS (SELECT chunk_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+"""
+SQL["p1_found"] = _SHINGLES + "SELECT a AS chunk_a, b AS chunk_b FROM common JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9"
+
 # 2: splitting
 
 
@@ -93,6 +123,37 @@ SELECT source_key, edge_id FROM (
   WHERE source_key <> '') WHERE r <= 5"""
 
 
+# 7: similar sets
+
+
+def _sets(spark: SparkSession, folder: str) -> dict[str, tuple[tuple[DataFrame, DataFrame], str]]:
+    chunks = load(spark, folder, "chunks").select("chunk_id", F.col("entities.normalized_text").alias("v"))
+    edges = load(spark, folder, "chunk_edges").select("edge_id", F.col("shared_entities").alias("v"))
+    return {"chunks": (setpairs.similar_sets(chunks, "chunk_id", F.col("v"), 0.6, 3), "chunk_id"), "chunk_edges": (setpairs.similar_sets(edges, "edge_id", F.col("v"), 0.6, 3), "edge_id")}
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    both = [neardup.expanded(*_pairs_of(found, key), "id_a", "id_b").select(F.lit(table).alias("set_table"), "id_a", "id_b") for table, (found, key) in _sets(spark, folder).items()]
+    return both[0].unionByName(both[1])
+
+
+@query
+def p7_links(spark: SparkSession, folder: str) -> DataFrame:
+    both = [setpairs.link_counts(members, key, links).withColumnRenamed(key, "record_id").withColumn("set_table", F.lit(table)) for table, ((members, links), key) in _sets(spark, folder).items()]
+    return both[0].unionByName(both[1])
+
+
+SQL["p7_found"] = """
+WITH lists AS (
+  SELECT 'chunks' AS set_table, chunk_id AS id, unnest(list_transform(entities, lambda e: lower(trim(e.normalized_text, ' ')))) AS v FROM chunks
+  UNION ALL SELECT 'chunk_edges', edge_id, unnest(list_transform(shared_entities, lambda e: lower(trim(e, ' ')))) FROM chunk_edges),
+items AS (SELECT DISTINCT * FROM lists WHERE v IS NOT NULL),
+sizes AS (SELECT set_table, id, count(*) AS n FROM items GROUP BY 1, 2 HAVING count(*) >= 3),
+kept AS (SELECT i.*, n FROM items i JOIN sizes USING (set_table, id)),
+common AS (SELECT a.set_table, a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM kept a JOIN kept b ON a.set_table = b.set_table AND a.v = b.v AND a.id < b.id GROUP BY ALL)
+SELECT set_table, id_a, id_b FROM common WHERE c >= 0.6 * (na + nb - c) - 1e-9"""
+
 # 8: encoding
 
 
