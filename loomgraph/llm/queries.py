@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import canonical, encoding, neardup, setpairs, splitting, topn
+from loomgraph.llm import canonical, encoding, neardup, neighbours, setpairs, splitting, topn
 from loomgraph.sources.tables import load
 
 QUERIES: dict = {}
@@ -103,6 +103,14 @@ def p3_misses(spark: SparkSession, folder: str) -> DataFrame:
     return p3_found(spark, folder).groupBy("field_name").agg(F.count_if(F.col("canonical") == canonical.UNMATCHED).alias("unmatched"), F.count("*").alias("values"))
 
 
+# 5: nearest vectors
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(load(spark, folder, "chunks"), "chunk_id", "embeddings", k=5, dim=64).select("chunk_id", "neighbour_id")
+
+
 # 6: top N
 
 
