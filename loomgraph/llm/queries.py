@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import canonical, encoding, neardup, neighbours, setpairs, splitting, topn
+from loomgraph.llm import canonical, encoding, neardup, neighbours, reading, setpairs, splitting, topn
 from loomgraph.sources.tables import load
 
 QUERIES: dict = {}
@@ -168,3 +168,30 @@ SELECT set_table, id_a, id_b FROM common WHERE c >= 0.6 * (na + nb - c) - 1e-9""
 @query
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_texts(load(spark, folder, "documents"), "doc_id", "text")
+
+
+# 10: reading level
+
+
+def _model(spark: SparkSession, folder: str) -> reading.Model:
+    return reading.train(load(spark, folder, "documents"), load(spark, folder, "doc_levels"), "doc_id", "text", "source", "reading_level")
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.levels(load(spark, folder, "documents"), "doc_id", "text", _model(spark, folder))
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder).where("level >= 4").select("doc_id").distinct()
+
+
+@query
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder)
+
+
+@query
+def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out errors by fold of sources."""
+    return spark.createDataFrame(_model(spark, folder).report, "fold int, texts long, mean_error double, within_half double, demanding_right double")
