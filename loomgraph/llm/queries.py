@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import canonical, encoding, neardup, neighbours, reading, setpairs, splitting, topn
+from loomgraph.llm import canonical, encoding, mixing, neardup, neighbours, reading, setpairs, splitting, topn
 from loomgraph.sources.tables import load
 
 QUERIES: dict = {}
@@ -170,6 +170,23 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_texts(load(spark, folder, "documents"), "doc_id", "text")
 
 
+# 9: mixing
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"), "doc_id")
+
+
+@query
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+@query
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
 # 10: reading level
 
 
