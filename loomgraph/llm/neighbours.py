@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import setjoin as J
 
 U = np.uint64
+#: Between candidates in a packed list.
+END = "\x00"
 
 
 def projection(dim: int, m: int, seed: int) -> np.ndarray:
@@ -172,7 +174,7 @@ def usable(vector: Column, dim: int) -> Column:
     return (F.size(vector) == dim) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v))
 
 
-def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, m: int = 6, confidence: float = 0.9, leaf: int = 128, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, m: int = 6, confidence: float = 0.8, leaf: int = 128, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """The k other items of highest cosine for every item, on equal cosines those with the smaller key.
 
     1. A kd-tree's upper planes are fitted to the projections of at most ``sample_rows`` vectors (all vectors are
@@ -182,16 +184,18 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
        every other part, and there to every leaf, that passes the chi-square test at ``confidence``: each true
        neighbour is found at least with that probability, and more often, as boxes are tested and not points.
     3. Only candidates better than the bound leave a part; they are merged per vector.
-    Cells keep a fixed size; parts are searched by several tasks, so a task's memory stays bounded.
+    Leaves keep a fixed size; parts grow with the root of n, and each is searched by several tasks, to which its queries
+    stream in blocks.
 
     Defined cases: vectors that are null, of another length, hold a null, NaN or infinite value, or are all zero take no
-    part; an item with fewer than k others has all of them; repeated rows count once; a key with several vectors takes
+    part, nor do rows whose key is null or holds U+0000; an item with fewer than k others has all of them; repeated rows count once; a key with several vectors takes
     part with each, and has the answer of one of them, the same on every run; an empty input gives an empty result. Result: key, neighbour_id, cosine.
     """
     spark: SparkSession = items.sparkSession
-    rows = items.select(F.col(key).cast("string").alias("k"), F.col(vector).alias("v")).where(usable(F.col("v"), dim) & F.col("k").isNotNull())
+    rows = items.select(F.col(key).cast("string").alias("k"), F.col(vector).alias("v"))
+    rows = rows.where(usable(F.col("v"), dim) & F.col("k").isNotNull() & ~F.contains("k", F.lit(END)))
     n = rows.count()
-    parts = max(1, math.ceil(math.sqrt(n / 6000)))
+    parts = max(1, math.ceil(math.sqrt(n / 12_000)))
     blocks = -(-parts // 2)
     a, c, top = projection(dim, m, seed), chi_square_quantile(confidence, m), k + 1
     depth = min(12, max(0, math.ceil(math.log2(16 * parts)) if parts > 1 else 0))
@@ -238,69 +242,68 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
         for s in range(0, size, 1024):
             e = slice(s, s + 1024)
             index.search(v[e], points[e], best[e], at[e], c)
-        yield from found_rows(sig, best, at, smallest)
+        own = packed(best, at, smallest)
         if parts == 1:
+            yield rows_of(sig, own)
             return
         kth = best[:, -1]
         out = []
         for s in range(0, size, 4096):
-            piece = pickle.dumps((smallest[s : s + 4096], v[s : s + 4096]), 5)
-            out += [((part * blocks + j), 0, piece) for j in range(blocks)]
+            e = slice(s, s + 4096)
+            out += [(part * blocks + j, 0, pickle.dumps((smallest[e], v[e]), 5)) for j in range(blocks)]
+            out.append((part * blocks + (s // 4096) % blocks, 2, pickle.dumps((sig[e], own[e]), 5)))
         far = box_distance(points, lo, hi)
         for p in range(parts):
-            if p == part:
+            if p == part or not (part_of == p).any():
                 continue
-            go = np.flatnonzero((far[:, part_of == p].min(1) if (part_of == p).any() else np.full(size, np.inf)) <= c * np.maximum(2 - 2 * kth, 1e-6))
-            for j, rows_ in enumerate(np.array_split(go, blocks)):
-                for s in range(0, len(rows_), 2048):
-                    r = rows_[s : s + 2048]
+            go = np.flatnonzero(far[:, part_of == p].min(1) <= c * np.maximum(2 - 2 * kth, 1e-6))
+            for j, several in enumerate(np.array_split(go, blocks)):
+                for s in range(0, len(several), 2048):
+                    r = several[s : s + 2048]
                     out.append((p * blocks + (j + part) % blocks, 1, pickle.dumps((sig[r], v[r], kth[r]), 5)))
         for s in range(0, len(out), 64):
             t, kind, piece = zip(*out[s : s + 64])
-            yield pd.DataFrame({"task": t, "kind": kind, "block": piece, "hi": 0, "lo": 0, "s": 0.0, "id": None})
-
-    def found_rows(sig: np.ndarray, best: np.ndarray, at: np.ndarray, smallest: list) -> Iterator[pd.DataFrame]:
-        """One row per vector and candidate key; of at most ``top`` candidates, each with its ``top`` smallest keys."""
-        row, col = np.nonzero((best > -2) & (at >= 0))
-        ids = [smallest[j] for j in at[row, col]]
-        each = np.array([len(w) for w in ids], np.int64)
-        row, score = np.repeat(row, each), np.repeat(best[row, col], each)
-        flat = [w for ws in ids for w in ws]
-        for s in range(0, len(row), 50_000):
-            e = slice(s, s + 50_000)
-            yield pd.DataFrame({"task": -1, "kind": 2, "block": None, "hi": sig[row[e], 0], "lo": sig[row[e], 1], "s": np.round(score[e].astype(np.float64), 6), "id": flat[e]})
+            yield pd.DataFrame({"task": t, "kind": kind, "block": piece, "hi": 0, "lo": 0, "found": None})
+
+    def packed(best: np.ndarray, at: np.ndarray, smallest: list) -> list[str]:
+        """Each vector's candidates in one string: the angle's place in six digits and the key, so that the best sorts first."""
+        code = np.round((1 - np.minimum(best, 1.0).astype(np.float64)) * 1e6).astype(np.int64)
+        return [END.join(f"{n:07d}{w}" for n, j, b in zip(cs, js, bs) if j >= 0 and b > -2 for w in smallest[j]) for cs, js, bs in zip(code.tolist(), at.tolist(), best.tolist())]
+
+    def rows_of(sig: np.ndarray, found: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"task": -1, "kind": 3, "block": None, "hi": sig[:, 0], "lo": sig[:, 1], "found": found})
 
     def abroad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data, index = [], None
         smallest: list = []
         for b in batches:
             for kind, raw in zip(b["kind"], b["block"]):
+                got = pickle.loads(raw)
                 if kind == 0:
-                    data.append(pickle.loads(raw))
-                    continue
-                if index is None:
-                    if not data:
-                        return
-                    index = Block(np.concatenate([v for _, v in data]), a, leaf)
-                    every = [w for ks, _ in data for w in ks]
-                    smallest = [every[g] for g in index.order]
-                    data.clear()
-                sig, q, kth = pickle.loads(raw)
-                best, at = np.full((len(q), top), 0, np.float32), np.full((len(q), top), -1, np.int64)
-                best[:] = kth[:, None]
-                index.search(q, q @ a, best, at, c)
-                yield from found_rows(sig, best, at, smallest)
-
-    schema = "task int, kind int, block binary, hi long, lo long, s double, id string"
-    first = rows.mapInPandas(send, "part int, block binary").repartitionById(parts, "part").mapInPandas(home, schema)
-    answers = first.where("kind = 2")
+                    data.append(got)
+                elif kind == 2:
+                    yield rows_of(*got)
+                else:
+                    if index is None:
+                        index = Block(np.concatenate([v for _, v in data]), a, leaf)
+                        every = [w for ks, _ in data for w in ks]
+                        smallest = [every[g] for g in index.order]
+                        data.clear()
+                    sig, q, kth = got
+                    best, at = np.repeat(kth[:, None], top, 1), np.full((len(q), top), -1, np.int64)
+                    index.search(q, q @ a, best, at, c)
+                    hit = np.flatnonzero((at >= 0).any(1))
+                    if len(hit):
+                        yield rows_of(sig[hit], packed(best[hit], at[hit], smallest))
+
+    schema = "task int, kind int, block binary, hi long, lo long, found string"
+    answers = rows.mapInPandas(send, "part int, block binary").repartitionById(parts, "part").mapInPandas(home, schema)
     if parts > 1:
-        second = first.where("kind < 2").repartitionById(parts * blocks, "task").sortWithinPartitions("kind").mapInPandas(abroad, schema)
-        answers = answers.unionByName(second)
-    by = Window.partitionBy("hi", "lo").orderBy(F.col("s").desc(), "id")
-    ranked = answers.select("hi", "lo", "s", "id").withColumn("r", F.row_number().over(by)).where(F.col("r") <= top)
-    lists = ranked.groupBy("hi", "lo").agg(F.array_sort(F.collect_list(F.struct("r", "s", "id"))).alias("found"))
+        answers = answers.repartitionById(parts * blocks, "task").sortWithinPartitions("kind").mapInPandas(abroad, schema)
+    every = F.split(F.concat_ws(END, F.collect_list("found")), END)
+    lists = answers.groupBy("hi", "lo").agg(F.slice(F.array_sort(every), 1, top).alias("found"))
     members = rows.mapInPandas(belong, "k string, hi long, lo long").groupBy("k").agg(F.min(F.struct("hi", "lo")).alias("c")).select("k", "c.hi", "c.lo")
-    out = members.join(lists, ["hi", "lo"]).select("k", F.explode(F.slice(F.filter("found", lambda f: f.id != F.col("k")), 1, k)).alias("f"))
+    others = F.filter("found", lambda f: (f != "") & (F.substr(f, F.lit(8)) != F.col("k")))
+    out = members.join(lists, ["hi", "lo"]).select("k", F.explode(F.slice(others, 1, k)).alias("f"))
     kind = items.schema[key].dataType
-    return out.select(F.col("k").cast(kind).alias(key), F.col("f.id").cast(kind).alias("neighbour_id"), F.col("f.s").alias("cosine"))
+    return out.select(F.col("k").cast(kind).alias(key), F.substr("f", F.lit(8)).cast(kind).alias("neighbour_id"), (1 - F.substr("f", F.lit(1), F.lit(7)).cast("long") / 1e6).alias("cosine"))
