@@ -25,7 +25,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = S.VECTOR_K, scope
     scope count. Both sides are packed into blocks; a task holds one part of the items (at most HELD vectors, so the
     number of parts grows with the items) while the query blocks stream by, and keeps the k best of each query by
     matrix products. The k best per part are ranked in a last small shuffle.
-    Null, empty and non-finite vectors, and those of another length than the query's, take no part; a zero vector has
+    Repeated rows count once. Null, empty and non-finite vectors, and those of another length than the query's, take no part; a zero vector has
     cosine 0. Ties go to the smaller item_id. Result: query_id, item_id, vector_score (6 places), vector_rank.
     """
     spark = items.sparkSession
@@ -77,7 +77,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = S.VECTOR_K, scope
                     every = [i for i, _, _ in held[dim] for i in i]
                     m = np.concatenate([v for _, v, _ in held[dim]])
                     size = np.linalg.norm(m, axis=1, keepdims=True)
-                    order = np.argsort(np.array(every), kind="stable")
+                    order = np.unique(np.array(every), return_index=True)[1]  # repeated rows once
                     sc = np.array([s for _, _, ss in held[dim] for s in ss], object)[order] if scope else None
                     ready[dim] = ([every[o] for o in order], (m / np.where(size == 0, 1, size))[order], sc)
                 names, m, item_scopes = ready[dim]

@@ -105,12 +105,23 @@ def membership_hash(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("document_id", "source_id").agg(F.sha2(H.json_array(listed), 256).alias("source_hash"))
 
 
-@query()
+_J = lambda c: f"coalesce(to_json({c})::VARCHAR, 'null')"
+_SOURCE = f"""WITH {K.C}, ej AS (SELECT chunk_id, '[' || list_aggregate(list_transform(entities, lambda e: '{{"label":' || {_J("e.label")} || ',"normalized_text":' || {_J("e.normalized_text")} || ',"score":' || coalesce(e.score::VARCHAR, 'null') || ',"text":' || {_J("e.text")} || '}}'), 'string_agg', ',') || ']' AS ents FROM c WHERE len(entities) > 0),
+j AS (SELECT document_id, source_id, chunk_id, '{{"chunk_id":' || {_J("chunk_id")} || ',"document_id":' || {_J("document_id")} || ',"entities":' || CASE WHEN entities IS NULL THEN 'null' WHEN len(entities) = 0 THEN '[]' ELSE ents END
+  || ',"source_id":' || {_J("source_id")} || ',"text":' || {_J("text")} || '}}' AS o FROM c LEFT JOIN ej USING (chunk_id)),
+h AS (SELECT document_id, source_id, sha256('[' || string_agg(o, ',' ORDER BY chunk_id) || ']') AS source_hash FROM j GROUP BY 1, 2)"""
+
+
+@query(_SOURCE + " SELECT coalesce(document_id, '') AS document_id, coalesce(source_id, '') AS source_id, source_hash FROM h")
 def source_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return H.source_hashes(K.chunks(spark, folder))
+    return H.source_hashes(K.chunks(spark, folder)).fillna("", ["document_id", "source_id"])
 
 
-@query()
+@query(
+    _SOURCE
+    + f""", g AS (SELECT t.id AS topic, s.source_id, coalesce(source_hash, sha256('[]')) AS x FROM (SELECT DISTINCT id FROM topics) t CROSS JOIN (SELECT DISTINCT source_id FROM c WHERE source_id IS NOT NULL) s LEFT JOIN h ON h.document_id = t.id AND h.source_id = s.source_id)
+SELECT topic, count(*) AS n_sources, sha256('{{' || string_agg({_J("source_id")} || ':' || {_J("x")}, ',' ORDER BY source_id) || '}}') AS knowledge_hash FROM g GROUP BY 1"""
+)
 def knowledge_hash(spark: SparkSession, folder: str) -> DataFrame:
     c = K.chunks(spark, folder)
     return H.knowledge_hashes(load(spark, folder, "topics"), c.select("source_id"), H.source_hashes(c)).select("topic", F.size("sources").alias("n_sources"), "knowledge_hash")
