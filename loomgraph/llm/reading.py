@@ -181,4 +181,4 @@ def levels(documents: DataFrame, key: str, text: str, model: Model) -> DataFrame
     kind = rows.schema[key].dataType.simpleString()
     read = rows.where(has_text(F.col("t"))).mapInPandas(run, f"`{key}` {kind}, score double")
     none = rows.where(~has_text(F.coalesce("t", F.lit("")))).select(key, F.lit(None).cast("double").alias("score"))
-    return read.unionByName(none).distinct().withColumn("level", F.least(F.greatest(F.round("score"), F.lit(1)), F.lit(5)).cast("int"))
+    return read.unionByName(none).distinct().withColumn("level", F.when(F.col("score").isNotNull(), F.least(F.greatest(F.round("score"), F.lit(1)), F.lit(5))).cast("int"))
