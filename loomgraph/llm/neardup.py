@@ -17,19 +17,38 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 
 
-def shingle_sets(texts: list, width: int, least_words: int) -> J.Sets:
-    """Hashed sequences of ``width`` words (runs of a-z and 0-9 in the lower-cased text) of texts with ``least_words``."""
-    rows = np.array([k for k, t in enumerate(texts) if isinstance(t, str) and t], np.int64)
+def shingle_sets(texts: list, width: int, least_words: int, slice_chars: int = 1 << 20) -> J.Sets:
+    """Hashed sequences of ``width`` words (runs of a-z and 0-9 in the lower-cased text) of texts with ``least_words``.
+
+    Texts are hashed together in slices of about ``slice_chars`` characters, which bounds the working arrays; a text is never cut.
+    """
+    rows = [k for k, t in enumerate(texts) if isinstance(t, str) and t]
+    parts, at = [], 0
+    while at < len(rows):
+        end, chars = at, 0
+        while end < len(rows) and (end == at or chars + len(texts[rows[end]]) <= slice_chars):
+            chars += len(texts[rows[end]])
+            end += 1
+        parts.append(_sliced(texts, np.array(rows[at:end], np.int64), width, least_words))
+        at = end
+    if not parts:
+        return _NO_SETS
+    size = np.concatenate([s.size for s in parts])
+    return J.Sets(np.concatenate([s.row for s in parts]), np.concatenate([[0], np.cumsum(size)]), np.concatenate([s.tokens for s in parts]))
+
+
+_NO_SETS = J.Sets(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, U))
+
+
+def _sliced(texts: list, rows: np.ndarray, width: int, least_words: int) -> J.Sets:
     raw = [texts[k].lower().encode("ascii", "replace") for k in rows]
-    if not raw:
-        return J.Sets(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, U))
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
     inside = _WORD[buf]
     step = np.diff(inside.astype(np.int8), prepend=0)
     begin, at = np.flatnonzero(step == 1), np.flatnonzero(inside)
     if len(begin) < width:
-        return J.Sets(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, U))
+        return _NO_SETS
     length = np.flatnonzero(step == -1) - begin
     first = np.cumsum(length) - length
     local = np.arange(len(at)) - np.repeat(first, length)

@@ -290,7 +290,7 @@ def blocks(records: DataFrame, extract: Extract, counts, t: float, parts: int, w
     return records.mapInPandas(run, "part int, block binary")
 
 
-def probe(size: np.ndarray, token: np.ndarray, rec: np.ndarray, pos: np.ndarray, t: float, slice_pairs: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def probe(size: np.ndarray, token: np.ndarray, rec: np.ndarray, pos: np.ndarray, t: float, slice_pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (x, y) of sets that share a token at positions that allow the overlap needed at t; size[y] <= size[x]."""
     bucket = np.floor(np.log(size) / np.log(1.05)).astype(np.int64)
     tokens, tid = np.unique(token, return_inverse=True)
