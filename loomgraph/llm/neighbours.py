@@ -89,60 +89,88 @@ def box_distance(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out
 
 
-def leaves_of(points: np.ndarray, size: int) -> list[np.ndarray]:
-    out, todo = [], [np.arange(len(points))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= size:
-            out.append(rows)
-            continue
-        d = int(np.argmax(points[rows].var(0)))
-        order = np.argpartition(points[rows, d], len(rows) // 2)
-        todo += [rows[order[len(rows) // 2 :]], rows[order[: len(rows) // 2]]]
-    return out
+def centres_of(x: np.ndarray, k: int, sample: int = 20_000, rounds: int = 4) -> np.ndarray:
+    """k unit centres of the vectors by spherical k-means on at most ``sample`` of them; the same on every run."""
+    rng = np.random.default_rng(11)
+    some = x[rng.choice(len(x), sample, replace=False)] if len(x) > sample else x
+    centres = some[rng.choice(len(some), min(k, len(some)), replace=False)]
+    for _ in range(rounds):
+        cell = np.argmax(some @ centres.T, 1)
+        order = np.argsort(cell, kind="stable")
+        own, starts = np.unique(cell[order], return_index=True)
+        centres[own] = np.add.reduceat(some[order], starts, axis=0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return centres
 
 
 class Block:
-    """Indexed vectors of one part: unit vectors in leaf order, with their projections' boxes."""
+    """Indexed vectors of one part: unit vectors in cells around centres, with the boxes of their projections."""
 
     def __init__(self, vectors: np.ndarray, a: np.ndarray, leaf: int):
-        points = vectors @ a
-        leaves = leaves_of(points, leaf)
-        self.order = np.concatenate(leaves)
-        self.ends = np.cumsum([0, *map(len, leaves)])
+        self.centres = centres_of(vectors, max(1, len(vectors) // leaf))
+        cell = np.concatenate([np.argmax(vectors[s : s + 8192] @ self.centres.T, 1) for s in range(0, len(vectors), 8192)])
+        self.order = np.argsort(cell, kind="stable")
+        own, starts = np.unique(cell[self.order], return_index=True)
+        self.centres = self.centres[own]
+        self.ends = np.append(starts, len(vectors))
         self.vectors = np.ascontiguousarray(vectors[self.order])
-        self.points = points[self.order]
-        self.lo, self.hi = np.stack([points[r].min(0) for r in leaves]), np.stack([points[r].max(0) for r in leaves])
+        self.points = self.vectors @ a
+        self.lo, self.hi = np.minimum.reduceat(self.points, starts, axis=0), np.maximum.reduceat(self.points, starts, axis=0)
 
-    def search(self, q: np.ndarray, qp: np.ndarray, best: np.ndarray, at: np.ndarray, c: float) -> int:
+    def search(self, q: np.ndarray, qp: np.ndarray, best: np.ndarray, at: np.ndarray, c: float, share: float, least: int) -> int:
         """Improves the k best similarities and places of each query, in place; gives the number of similarities computed.
 
-        Leaves are visited from the one nearest to most queries; a query leaves out a leaf when the stopping test
-        holds: the leaf's projected distance exceeds what, at the given confidence, a vector nearer than the query's
-        k-th best could have (c times its squared distance).
+        A query's budget are the cells of the nearest centres: ``share`` of all, but at least ``least``. Of these it
+        leaves out a cell when the stopping test holds: the cell's projected distance exceeds what, at the given
+        confidence, a vector nearer than the query's k-th best could have (c times its squared distance).
         """
-        k, done = best.shape[1], 0
-        far = box_distance(qp, self.lo, self.hi)
-        for leaf in np.argsort(far.mean(0)):
-            go = np.flatnonzero(far[:, leaf] <= c * np.maximum(2 - 2 * best[:, -1], 1e-6))
+        k, done, cells = best.shape[1], 0, len(self.centres)
+        near = q @ self.centres.T
+        budget = min(cells, max(least, math.ceil(share * cells)))
+        edge = np.partition(near, cells - budget, axis=1)[:, cells - budget]
+        open_ = np.ascontiguousarray((near >= edge[:, None]).T)
+        far = np.ascontiguousarray(box_distance(qp, self.lo, self.hi).T)
+        bound = best[:, -1].copy()
+        reach = c * np.maximum(2 - 2 * bound, 1e-6)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for cell in np.argsort(-near.mean(0)):
+            go = np.flatnonzero(open_[cell] & (far[cell] <= reach))
             if not len(go):
                 continue
-            begin, end = self.ends[leaf], self.ends[leaf + 1]
+            begin, end = self.ends[cell], self.ends[cell + 1]
             sims = (q if len(go) == len(q) else q[go]) @ self.vectors[begin:end].T
             done += sims.size
-            better = sims.max(1) > best[go, -1]
-            if not better.any():
+            hit = np.flatnonzero(sims > bound[go][:, None])
+            if not len(hit):
                 continue
-            go, sims = go[better], sims[better]
-            both = np.concatenate([best[go], sims], 1)
-            where = np.concatenate([at[go], np.broadcast_to(np.arange(begin, end), sims.shape)], 1)
-            top = np.argpartition(-both, k - 1, 1)[:, :k]
-            both, where = np.take_along_axis(both, top, 1), np.take_along_axis(where, top, 1)
-            rank = np.argsort(-both, 1, kind="stable")
-            best[go], at[go] = np.take_along_axis(both, rank, 1), np.take_along_axis(where, rank, 1)
+            row = hit // sims.shape[1]
+            kept.append((go[row], hit - row * sims.shape[1] + begin, sims.ravel()[hit]))
+            if len(hit) > 4 * len(go):
+                # many are better: tighten the bounds before going on
+                _keep_best(kept, best, at)
+                kept.clear()
+                bound = best[:, -1].copy()
+                reach = c * np.maximum(2 - 2 * bound, 1e-6)
+        _keep_best(kept, best, at)
         return done
 
 
+def _keep_best(kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]], best: np.ndarray, at: np.ndarray) -> None:
+    """Merges candidates (query, place, similarity) into each query's k best."""
+    if not kept:
+        return
+    k = best.shape[1]
+    row, place, sim = (np.concatenate(x) for x in zip(*kept))
+    used = np.unique(row)
+    row = np.concatenate([row, np.repeat(used, k)])
+    place, sim = np.concatenate([place, at[used].ravel()]), np.concatenate([sim, best[used].ravel()])
+    order = np.lexsort((-sim, row))
+    row, place, sim = row[order], place[order], sim[order]
+    first = np.searchsorted(row, used)
+    take = first[:, None] + np.arange(k)
+    best[used], at[used] = sim[take], place[take]
+
+
 def signatures(x: np.ndarray) -> np.ndarray:
     """(n, 2) signed 128-bit names of single-precision vectors; equal vectors have equal names."""
     bits = x.view(np.uint32).astype(U) + (np.arange(1, x.shape[1] + 1, dtype=U) << U(32))
@@ -174,17 +202,17 @@ def usable(vector: Column, dim: int) -> Column:
     return (F.size(vector) == dim) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v))
 
 
-def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, m: int = 6, confidence: float = 0.8, leaf: int = 128, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, m: int = 6, confidence: float = 0.9, leaf: int = 256, share: float = 0.15, least_cells: int = 24, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """The k other items of highest cosine for every item, on equal cosines those with the smaller key.
 
     1. A kd-tree's upper planes are fitted to the projections of at most ``sample_rows`` vectors (all vectors are
        indexed). They route each vector to one of about sqrt(n) parts; copies of a vector are merged, keeping their
        k + 1 smallest keys, so that a group of copies is one vector wherever it is searched.
     2. A part answers its own vectors, cell by cell. With the distance to the k-th best as bound, a vector then goes to
-       every other part, and there to every leaf, that passes the chi-square test at ``confidence``: each true
-       neighbour is found at least with that probability, and more often, as boxes are tested and not points.
+       every other part that passes the chi-square test at ``confidence``. Within a part it has a budget of cells, those of the
+       nearest centres (``share`` of them, but at least ``least_cells``), and leaves out those that fail the test.
     3. Only candidates better than the bound leave a part; they are merged per vector.
-    Leaves keep a fixed size; parts grow with the root of n, and each is searched by several tasks, to which its queries
+    Cells keep about ``leaf`` vectors; parts grow with the root of n, and each is searched by several tasks, to which its queries
     stream in blocks.
 
     Defined cases: vectors that are null, of another length, hold a null, NaN or infinite value, or are all zero take no
@@ -241,7 +269,7 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
         best, at = np.full((size, top), -2.0, np.float32), np.zeros((size, top), np.int64)
         for s in range(0, size, 1024):
             e = slice(s, s + 1024)
-            index.search(v[e], points[e], best[e], at[e], c)
+            index.search(v[e], points[e], best[e], at[e], c, share, least_cells)
         own = packed(best, at, smallest)
         if parts == 1:
             yield rows_of(sig, own)
@@ -291,7 +319,7 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
                         data.clear()
                     sig, q, kth = got
                     best, at = np.repeat(kth[:, None], top, 1), np.full((len(q), top), -1, np.int64)
-                    index.search(q, q @ a, best, at, c)
+                    index.search(q, q @ a, best, at, c, share, least_cells)
                     hit = np.flatnonzero((at >= 0).any(1))
                     if len(hit):
                         yield rows_of(sig[hit], packed(best[hit], at[hit], smallest))
