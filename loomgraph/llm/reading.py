@@ -30,8 +30,20 @@ def terms(sents: list[list[str]]) -> set[str]:
     return {w for s in sents for w in s} | {f"{a} {b}" for s in sents for a, b in zip(s, s[1:])}
 
 
+_AT = np.array([0.1, 0.25, 0.5, 0.75, 0.9])
+
+
 def _spread(x: np.ndarray) -> list[float]:
-    return [float(x.mean()), float(x.std()), *np.quantile(x, (0.1, 0.25, 0.5, 0.75, 0.9)).tolist()] if len(x) else [0.0] * 7
+    """Mean, deviation and five quantiles (linear between neighbours)."""
+    n = len(x)
+    if not n:
+        return [0.0] * 7
+    x = np.sort(x)
+    place = _AT * (n - 1)
+    low = place.astype(np.int64)
+    a, b = x[low], x[np.minimum(low + 1, n - 1)]
+    mean = float(x.sum()) / n
+    return [mean, max(0.0, float(x.dot(x)) / n - mean * mean) ** 0.5, *(a + (b - a) * (place - low)).tolist()]
 
 
 def features(text: str, score: dict[str, float], middle: float) -> list[float]:
@@ -52,14 +64,14 @@ def features(text: str, score: dict[str, float], middle: float) -> list[float]:
         kinds[w] += 1
     sets = [frozenset(s) for s in sents]
     cohesion = np.array([len(a & b) / len(a | b) for a, b in zip(sets, sets[1:])])
-    count = lambda marks: sum(text.count(c) for c in marks)
+    count = lambda marks: sum(map(text.count, marks))
     return [
         np.log(len(text)), np.log(n), np.log(m), *_spread(size), *_spread(chars),
         float((chars >= 7).mean()), float((chars >= 10).mean()), float((chars >= 13).mean()), float((chars <= 3).mean()), float(syllables.mean()), float(syllables.std()),
         len(kinds) / np.sqrt(n), sum(1 for c in kinds.values() if c == 1) / n, 1 - len(known) / n,
         *_spread(known), *_spread(pairs), len(pairs) / n, *_spread(each),
         float((known >= 3.5).mean()) if len(known) else 0.0, float((known <= 2).mean()) if len(known) else 0.0, float((each >= 3.5).mean()),
-        count(",") / n, count(";:—–") / n, count("()[]") / n, count("?¿") / m, count("!¡") / m, sum(c.isdigit() for c in text) / len(text), count("$=+\\^{}<>|") / n,
+        count(",") / n, count(";:—–") / n, count("()[]") / n, count("?¿") / m, count("!¡") / m, count("0123456789") / len(text), count("$=+\\^{}<>|") / n,
         float(cohesion.mean()) if m > 1 else 0.0, float(cohesion.std()) if m > 1 else 0.0, len(set(sets)) / m,
     ]
 
