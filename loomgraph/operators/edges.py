@@ -2,42 +2,118 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scoring as S
 from loomgraph.operators.search import vector_topk
 
-
-def shared_entity_pairs(chunks: DataFrame, scope: list[str]) -> DataFrame:
-    """(source_chunk, target_chunk, shared_entities) of chunk pairs within a scope with a common normalized_text.
-
-    An inverted-index join: entities and chunk ids only, each pair once with the smaller id first. The pairs are the
-    operator's result; their number is what the scope asks for.
-    """
-    items = chunks.select(*scope, "chunk_id", F.explode("entities.normalized_text").alias("e")).where("e is not null").distinct()
-    b = items.withColumnRenamed("chunk_id", "other")
-    pairs = items.join(b, [*scope, "e"]).where("chunk_id < other")
-    return pairs.groupBy(F.col("chunk_id").alias("source_chunk"), F.col("other").alias("target_chunk")).agg(F.array_sort(F.collect_list("e")).alias("shared_entities"))
+#: Chunks of a block, and chunks that are compared with two blocks at a time.
+BLOCK, ROWS = 4096, 128
 
 
-def chunk_edges(chunks: DataFrame, scope: list[str], threshold: float = S.CHUNK_SIMILARITY) -> DataFrame:
-    """Pairs of a scope's chunks with cosine of at least ``threshold`` or a shared entity.
+def chunk_edges(chunks: DataFrame, scope: list[str], threshold: float = S.CHUNK_SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Pairs of a scope's chunks with cosine of at least ``threshold`` or a shared entity, the smaller id first.
 
-    The disjunction is two candidate sets: entity pairs by the inverted index, and similar vectors by blocks of matrix
-    products within the scope; the similarity is computed once for the union. Chunks without usable vector have a null
-    similarity. Result: source_chunk, target_chunk, shared_entities (sorted), similarity (6 places).
+    A scope of more than ``block`` chunks is dealt into blocks by the id's hash, and every two of its blocks (and each with
+    itself) meet in one task: there the entities by an inverted index, the vectors by a matrix product, ROWS chunks at a
+    time. So pairs are never shuffled, and a hot scope is spread over tasks. Chunks without usable vector, or with one of
+    another length, have a null similarity. Result: source_chunk, target_chunk, shared_entities (sorted), similarity (6 places).
     """
-    entity = shared_entity_pairs(chunks, scope)
-    vectors = chunks.select("chunk_id", F.col("embeddings").alias("v"), F.concat_ws("\x01", *scope).alias("scope")).where(S.norm(F.col("embeddings")) >= 0)
-    q, i = vectors.withColumnRenamed("chunk_id", "query_id"), vectors.withColumnRenamed("chunk_id", "item_id")
-    most = vectors.groupBy("scope").count().agg(F.max("count")).first()[0] or 1
-    near = vector_topk(q, i, k=int(most), scope=True, floor=threshold).where("query_id < item_id").select(F.col("query_id").alias("source_chunk"), F.col("item_id").alias("target_chunk"))
-    pairs = entity.join(near.withColumn("near", F.lit(True)), ["source_chunk", "target_chunk"], "full").drop("near")
-    a = chunks.select(F.col("chunk_id").alias("source_chunk"), F.col("embeddings").alias("va"))
-    b = chunks.select(F.col("chunk_id").alias("target_chunk"), F.col("embeddings").alias("vb"))
-    both = pairs.join(a, "source_chunk").join(b, "target_chunk")
-    return both.select("source_chunk", "target_chunk", F.coalesce("shared_entities", F.array().cast("array<string>")).alias("shared_entities"), F.round(S.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    known = chunks.where(" and ".join(f"{c} is not null" for c in ["chunk_id", *scope]))
+    large = known.groupBy(*scope).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    own = known.select(*scope, "chunk_id", F.when(~F.exists("embeddings", lambda x: x.isNull()), S.doubles(F.col("embeddings"))).alias("v"), F.array_compact(F.array_distinct("entities.normalized_text")).alias("e"))
+    rows = own.join(F.broadcast(large), scope, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
+    met = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = [*scope, "_x", "_y"]
+    met = met.select(*scope, F.least("_block", "_with").alias("_x"), F.greatest("_block", "_with").alias("_y"), "_block", "chunk_id", "v", "e")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in key)))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i and keys[i] != now:
+                    yield from _block_edges(held, threshold)
+                    held, now = [], keys[i]
+                held.append(b.slice(i, j - i))
+        yield from _block_edges(held, threshold)
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, f"source_chunk {kind}, target_chunk {kind}, shared_entities array<string>, similarity double")
+
+
+def _block_edges(held: list[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The edges between two blocks of a scope, or within one."""
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    ids = t.column("chunk_id").to_pylist()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    order = [o for n, o in enumerate(order) if not n or ids[o] != ids[order[n - 1]]]  # repeated rows once
+    t = t.take(pa.array(order)).combine_chunks()
+    ids, n = t.column("chunk_id").combine_chunks(), len(order)
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    side = t.column("_block").to_numpy()
+    within = t.column("_x")[0].as_py() == t.column("_y")[0].as_py()
+    # vectors by their length
+    vectors, groups = t.column("v").to_pylist(), {}
+    for i, v in enumerate(vectors):
+        if v:
+            groups.setdefault(len(v), []).append(i)
+    sized = []
+    for own in groups.values():
+        m = np.array([vectors[i] for i in own], float)
+        with np.errstate(invalid="ignore", over="ignore"):
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            sized.append((np.array(own), m / np.where(norm == 0, 1, norm)))
+    del vectors
+    # entities by their rank, as postings
+    listed = t.column("e").to_pylist()
+    names = sorted({x for e in listed for x in e or ()})
+    rank = {x: i for i, x in enumerate(names)}
+    names = pa.array(names, pa.string())
+    owner = np.repeat(np.arange(n), [len(e or ()) for e in listed])
+    entity = np.fromiter((rank[x] for e in listed for x in e or ()), np.int64, len(owner))
+    by = np.argsort(entity, kind="stable")
+    posting, first = owner[by], np.searchsorted(entity[by], np.arange(len(names) + 1))
+    for a in range(0, n, ROWS):
+        z = min(n, a + ROWS)
+        sims = np.full((z - a, n), np.nan)
+        measured = np.zeros((z - a, n), bool)
+        for own, m in sized:
+            here = np.flatnonzero((own >= a) & (own < z))
+            at = np.ix_(own[here] - a, own)
+            with np.errstate(invalid="ignore"):
+                sims[at] = np.round(m[here] @ m.T, 6) + 0.0
+            measured[at] = True
+        low, high = np.searchsorted(owner, [a, z])
+        many = (first[1:] - first[:-1])[entity[low:high]]
+        start = np.repeat(first[entity[low:high]] - np.cumsum(many) + many, many)
+        other = posting[start + np.arange(len(start))]
+        code, shared = np.repeat(owner[low:high] - a, many) * n + other, np.repeat(entity[low:high], many)
+        code, shared = (x[(other > np.repeat(owner[low:high], many))] for x in (code, shared))
+        by = np.lexsort((shared, code))
+        code, shared = code[by], shared[by]
+        with np.errstate(invalid="ignore"):
+            kept = sims >= threshold
+        kept.ravel()[code] = True
+        kept &= np.arange(n)[None, :] > np.arange(a, z)[:, None]
+        if not within:
+            kept &= side[None, :] != side[a:z, None]
+        i, j = np.nonzero(kept)
+        if not len(i):
+            continue
+        at = i * n + j
+        starts, ends = np.searchsorted(code, at), np.searchsorted(code, at, "right")
+        wanted = kept.ravel()[code]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends - starts)]), pa.int32()), names.take(pa.array(shared[wanted])))
+        yield pa.record_batch([ids.take(pa.array(i + a)), ids.take(pa.array(j)), lists, pa.array(sims[i, j], mask=~measured[i, j])], ["source_chunk", "target_chunk", "shared_entities", "similarity"])
 
 
 def semantic_neighbours(questions: DataFrame, threshold: float = S.QUESTION_SIMILARITY) -> DataFrame:

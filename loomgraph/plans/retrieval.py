@@ -144,8 +144,8 @@ def expanded_retrieval(spark: SparkSession, folder: str) -> DataFrame:
 SELECT source_chunk, target_chunk, coalesce(list_aggregate(sh, 'string_agg', ' | '), '') AS shared_entities, coalesce(similarity, -1) AS similarity FROM p WHERE similarity >= 0.72 OR len(sh) > 0"""
 )
 def chunk_edges(spark: SparkSession, folder: str) -> DataFrame:
-    c = K.chunks(spark, folder).where("document_id is not null and source_id is not null")
-    return G.chunk_edges(c, ["document_id", "source_id"]).withColumns({"shared_entities": F.array_join("shared_entities", " | "), "similarity": F.coalesce("similarity", F.lit(-1.0))})
+    """All chunks of a topic are compared, whatever their source."""
+    return G.chunk_edges(K.chunks(spark, folder), ["document_id"]).withColumns({"shared_entities": F.array_join("shared_entities", " | "), "similarity": F.coalesce("similarity", F.lit(-1.0))})
 
 
 @query(

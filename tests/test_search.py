@@ -75,6 +75,33 @@ def test_edges_and_neighbours(spark):
     assert n == {"p": [("r", 1.0)], "r": [("p", 1.0)], "t": []}
 
 
+def test_edges_across_sources_and_blocks(spark, tmp_path):
+    from loomgraph.plans import retrieval
+
+    rng = np.random.default_rng(5)
+    ent = "array<struct<text:string,normalized_text:string,label:string,score:double>>"
+    rows = []
+    for i in range(90):
+        v = (rng.normal(size=64) + 2 * np.eye(64)[i % 3] * 6).round(3).tolist()
+        names = sorted({f"e{x}" for x in rng.integers(0, 40, 2)})
+        rows.append((f"c{rng.integers(10**9)}-{i}", "tu"[i % 5 == 0], [None, "s1", "s2"][i % 3], None if i % 11 == 0 else v, [(x, x, "l", 1.0) for x in names]))
+    c = spark.createDataFrame(rows, f"chunk_id string, document_id string, source_id string, embeddings array<double>, entities {ent}")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] == b[1]:
+                shared = sorted({e[1] for e in a[4]} & {e[1] for e in b[4]})
+                cos = None if a[3] is None or b[3] is None else round(float(np.dot(a[3], b[3]) / np.linalg.norm(a[3]) / np.linalg.norm(b[3])), 6)
+                if shared or (cos is not None and cos >= 0.72):
+                    want[a[0], b[0]] = (shared, cos)
+    assert any(not s for s, _ in want.values()) and any(s for s, _ in want.values())
+    for block in (4096, 10):
+        found = G.chunk_edges(c, ["document_id"], block=block).collect()
+        assert len(found) == len(want) and {(r.source_chunk, r.target_chunk): (r.shared_entities, r.similarity) for r in found} == want
+    c.write.parquet(str(tmp_path / "chunks.parquet"))
+    assert {(r.source_chunk, r.target_chunk) for r in retrieval.chunk_edges(spark, str(tmp_path)).collect()} == set(want)
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()]
