@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scoring as S
@@ -32,21 +32,59 @@ def last_edges(edges: DataFrame, order: list) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def paths(edges: DataFrame, hops: int, least: float = S.PATH_SCORE, strong: int = 5, weak: int = 3, fan: int = S.NEIGHBOURS) -> DataFrame:
+def _contenders(rows: DataFrame, by: list[str], weights: list[str], n: Column, slack: float, count: str, sure: Column | None = None) -> DataFrame:
+    """The rows of each group that fewer than n others (of the ``sure`` ones) surely precede, whatever edge comes before them.
+
+    A row surely precedes another whose score is lower by more than ``slack``, or one of the same weights and a later text;
+    in between rounding decides, so such rows stay. Adds ``count``: the sure rows of the group up to this one.
+    """
+    one = (F.lit(True) if sure is None else sure).cast("int")
+    group, alike = Window.partitionBy(*by), Window.partitionBy(*by, "_neg", *weights)
+    past = lambda w, *order: F.sum(one).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.withColumn(count, past(group, "_neg", *weights, "_text")).withColumn("_alike", past(alike, "_text") - one)
+    cut = counted.withColumn("_cut", F.min(F.when((one == 1) & (F.col(count) >= n), F.col("_neg"))).over(group))
+    return cut.where((F.col("_cut").isNull() | (F.col("_neg") <= F.col("_cut") + slack)) & (F.col("_alike") < n)).drop("_alike", "_cut")
+
+
+def paths(edges: DataFrame, hops: int, least: float = S.PATH_SCORE, strong: int = 5, weak: int = 3) -> DataFrame:
     """Simple paths of ``hops`` edges from every node, the ``strong`` best of strong ones and the ``weak`` best of weak ones.
 
     A path's score is the product of its weights, and it is strong when all its edges are semantic. Products only fall,
-    so paths below ``least`` are dropped after every hop; each node passes on its ``fan`` heaviest edges, so hubs add at
-    most that many per path. Result: entity, quality, path_rank, path_score (6 places), nodes, path.
+    so paths below ``least`` are dropped after every hop. Exact, though hubs don't multiply: a last edge counts only if
+    it is among the limit + hops - 1 heaviest of its node and kind, as the path holds hops - 1 nodes it can't go to. Of
+    the two last edges of longer paths, those with one middle or one end count up to cap = limit + hops - 2, and of all
+    from a node limit + 2 * (hops - 2) * cap, since the nodes before them bar no more than that. The work is linear in
+    the edges up to three hops. Result: entity, quality, path_rank, path_score (6 places), nodes.
     """
-    e = top_neighbours(edges, fan).select(F.col("node").alias("_from"), F.col("neighbour").alias("_to"), F.col("weight").alias("_w"), F.col("semantic").alias("_s"))
-    walk = e.select(F.col("_from").alias("entity"), F.col("_to").alias("end"), F.col("_w").alias("score"), F.col("_s").alias("all_semantic"), F.array("_from", "_to").alias("nodes")).where(F.col("score") >= least)
-    for _ in range(hops - 1):
-        longer = walk.join(e, walk.end == e._from).where(~F.array_contains("nodes", F.col("_to")))
-        walk = longer.select("entity", F.col("_to").alias("end"), (F.col("score") * F.col("_w")).alias("score"), (F.col("all_semantic") & F.col("_s")).alias("all_semantic"), F.concat("nodes", F.array("_to")).alias("nodes")).where(F.col("score") >= least)
+    slack, before = 1.1e-6 / least if least > 0 else float("inf"), hops - 2
+    limit = lambda s: F.when(F.col(s), max(strong, weak)).otherwise(weak)
+    e = edges.where(F.col("weight") >= least).select(F.col("node").alias("_from"), F.col("neighbour").alias("_to"), F.col("weight").alias("_w"), F.col("semantic").alias("_s"))
+    last = _contenders(e.withColumns({"_neg": -F.col("_w"), "_text": F.col("_to")}), ["_from", "_s"], ["_w"], limit("_s") + (hops - 1), slack, "_n").select("_from", "_to", "_w", "_s")
+    if hops == 1:
+        walk = last.select(F.col("_from").alias("entity"), F.col("_w").alias("score"), F.col("_s").alias("all_semantic"), F.array("_from", "_to").alias("nodes"))
+    else:
+        first = e.select("_from", F.col("_to").alias("_mid"), F.col("_w").alias("_w1"), F.col("_s").alias("_s1"))
+        tail = first.join(last.select(F.col("_from").alias("_mid"), "_to", F.col("_w").alias("_w2"), F.col("_s").alias("_s2")), "_mid").where("_from <> _to")
+        tail = tail.withColumns({"_neg": -F.col("_w1") * F.col("_w2"), "_s": F.col("_s1") & F.col("_s2")}).where(F.col("_neg") <= -least).drop("_s1", "_s2")
+        if hops == 2:
+            walk = tail.select(F.col("_from").alias("entity"), (-F.col("_neg")).alias("score"), F.col("_s").alias("all_semantic"), F.array("_from", "_mid", "_to").alias("nodes"))
+        else:
+            cap, weights = limit("_s") + before, ["_w1", "_w2"]
+            tail = tail.withColumn("_text", F.concat_ws(" > ", "_mid", "_to")).repartition("_from")
+            tail = _contenders(_contenders(tail, ["_from", "_s", "_mid"], weights, cap, slack, "_n1"), ["_from", "_s", "_to"], weights, cap, slack, "_n2")
+            sure = (F.col("_n1") <= cap) & (F.col("_n2") <= cap)
+            tail = _contenders(tail, ["_from", "_s"], weights, limit("_s") + 2 * before * cap, slack, "_n", sure).select(F.col("_from").alias("end"), "_mid", "_to", "_w1", "_w2", "_s")
+            walk = e.select(F.col("_from").alias("entity"), F.col("_to").alias("end"), F.col("_w").alias("score"), F.col("_s").alias("all_semantic"), F.array("_from", "_to").alias("nodes"))
+            step = e.select(F.col("_from").alias("end"), "_to", F.col("_w").alias("_w1"), "_s")
+            for _ in range(before - 1):
+                longer = walk.join(step, "end").where(~F.array_contains("nodes", F.col("_to")))
+                walk = longer.select("entity", F.col("_to").alias("end"), (F.col("score") * F.col("_w1")).alias("score"), (F.col("all_semantic") & F.col("_s")).alias("all_semantic"), F.concat("nodes", F.array("_to")).alias("nodes")).where(F.col("score") >= least)
+            whole = walk.join(tail, "end").where(~F.array_contains("nodes", F.col("_mid")) & ~F.array_contains("nodes", F.col("_to")))
+            walk = whole.select("entity", (F.col("score") * F.col("_w1") * F.col("_w2")).alias("score"), (F.col("all_semantic") & F.col("_s")).alias("all_semantic"), F.concat("nodes", F.array("_mid", "_to")).alias("nodes")).where(F.col("score") >= least)
     scored = walk.select("entity", F.when(F.col("all_semantic"), "strong").otherwise("weak").alias("quality"), F.round("score", 6).alias("path_score"), F.array_join("nodes", " > ").alias("nodes"))
     by = Window.partitionBy("entity", "quality").orderBy(F.col("path_score").desc(), "nodes")
-    return scored.withColumn("path_rank", F.row_number().over(by)).where(F.col("path_rank") <= F.when(F.col("quality") == "strong", strong).otherwise(weak))
+    most = scored.withColumn("path_rank", F.row_number().over(by)).where(F.col("path_rank") <= max(strong, weak))
+    return most.where(F.col("path_rank") <= F.when(F.col("quality") == "strong", strong).otherwise(weak))
 
 
 def equation_links(chunks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

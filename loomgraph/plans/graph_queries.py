@@ -96,7 +96,7 @@ def paths_2hop(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_path_sql(3, 3, 2, 5))
 def paths_3hop(spark: SparkSession, folder: str) -> DataFrame:
-    return G.paths(G.undirected(load(spark, folder, "entity_edges")), 3, strong=3, weak=2, fan=5)
+    return G.paths(G.undirected(load(spark, folder, "entity_edges")), 3, strong=3, weak=2)
 
 
 @query(
@@ -168,7 +168,7 @@ def rendered_context(spark: SparkSession, folder: str) -> DataFrame:
         listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity", "quality", "path_rank", "line"))), lambda x: x.line), "\n")
         return core.join(lines, "entity").groupBy("topic_id").agg(listed.alias(name))
 
-    two, three = rendered(2, "two", strong=5, weak=3), rendered(3, "three", strong=3, weak=2, fan=5)
+    two, three = rendered(2, "two", strong=5, weak=3), rendered(3, "three", strong=3, weak=2)
     eqs = F.transform(F.coalesce("retrieved_equations", F.array().cast("array<string>")), lambda q: F.struct(F.col("topic_id").alias("source"), q.alias("target")))
     rows = packets.join(two, "topic_id", "left").join(three, "topic_id", "left").withColumn("difficulty", F.explode(F.array(*map(F.lit, ("easy", "medium", "hard")))))
     empty = lambda c: F.coalesce(c, F.lit(""))

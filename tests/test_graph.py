@@ -52,6 +52,33 @@ def test_paths_by_hand(spark):
     assert [(r.node, r.neighbour) for r in G.top_neighbours(u, 1).where("node = 'b'").collect()] == [("b", "a")]
 
 
+def test_paths_against_all_paths(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(7)
+    # hubs, ties of weights, weights within the rounding of the score, and nodes most of whose paths meet again
+    rows = {}
+    for i in range(700):
+        a, b = (f"n{rng.randrange(k):02}" for k in (4 if i % 2 else 60, 60))
+        rows[min(a, b), max(a, b)] = rng.choice([0.9, 0.95, 1.0, 0.3, round(rng.random(), 3), 0.9 + rng.random() / 1e6])
+    e = edge_frame(spark, [("c", a, "r", b, "semantic" if (len(a + b) + i) % 3 else "contextual", w, str(i)) for i, ((a, b), w) in enumerate(rows.items())])
+    u = G.undirected(e).cache()
+    near = {}
+    for r in u.collect():
+        near.setdefault(r.node, []).append((r.neighbour, r.weight, r.semantic))
+    for hops, strong, weak in ((1, 2, 1), (2, 5, 3), (3, 3, 2), (4, 2, 1)):
+        walks = [((n,), 1.0, True) for n in near] if hops < 4 else [((n,), 1.0, True) for n in sorted(near)[:3]]
+        for _ in range(hops):
+            walks = [((*p, y), s * w, q and k) for p, s, q in walks for y, w, k in near[p[-1]] if y not in p and s * w >= 0.2]
+        best = {}
+        for p, s, q in walks:
+            best.setdefault((p[0], "strong" if q else "weak"), []).append((-float(Decimal(repr(s)).quantize(Decimal("1e-6"), ROUND_HALF_UP)), " > ".join(p)))
+        want = {(k, i + 1): x for k, v in best.items() for i, x in enumerate(sorted(v)[: strong if k[1] == "strong" else weak])}
+        got = {((r.entity, r.quality), r.path_rank): (-r.path_score, r.nodes) for r in G.paths(u, hops, strong=strong, weak=weak).collect() if hops < 4 or r.entity in sorted(near)[:3]}
+        assert got == want
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 3), (7, 6), (7, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a int, b int"), "a", "b").collect()}
