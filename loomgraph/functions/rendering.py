@@ -13,6 +13,11 @@ def render_path(quality: Column, score: Column, path: Column) -> Column:
     return F.format_string("[%s|%.4f] %s", letter, F.coalesce(score, F.lit(0.0)), chain)
 
 
+def render_paths(paths: Column) -> Column:
+    """A line per path, from structs (path_quality, path_score, path)."""
+    return F.array_join(F.transform(paths, lambda p: render_path(p.path_quality, p.path_score, p.path)), "\n")
+
+
 def render_equations(items: Column) -> Column:
     """Lines of equation and intuition from structs (source, target), or None."""
     lines = F.transform(items, lambda e: F.concat(F.lit("[EQ] "), e.target, F.lit(" \n INTUITION: "), e.source))

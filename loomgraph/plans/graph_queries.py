@@ -91,12 +91,12 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, quality ORDER B
 
 @query(_path_sql(2, 5, 3, 10))
 def paths_2hop(spark: SparkSession, folder: str) -> DataFrame:
-    return G.paths(G.undirected(load(spark, folder, "entity_edges")), 2, strong=5, weak=3)
+    return G.paths(G.undirected(load(spark, folder, "entity_edges")), 2, strong=5, weak=3).drop("path")
 
 
 @query(_path_sql(3, 3, 2, 5))
 def paths_3hop(spark: SparkSession, folder: str) -> DataFrame:
-    return G.paths(G.undirected(load(spark, folder, "entity_edges")), 3, strong=3, weak=2)
+    return G.paths(G.undirected(load(spark, folder, "entity_edges")), 3, strong=3, weak=2).drop("path")
 
 
 @query(
@@ -144,35 +144,23 @@ SELECT document_id AS topic_id, coalesce(core_concepts, '') AS core_concepts, su
 
 
 def _packets(spark: SparkSession, folder: str) -> DataFrame:
-    near = G.top_neighbours(G.undirected(load(spark, folder, "entity_edges")))
-    return G.topic_packets(K.chunks(spark, folder).where("document_id is not null"), near)
+    return G.topic_packets(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
 
 
 @query(_PACKET)
 def topic_packet(spark: SparkSession, folder: str) -> DataFrame:
-    text = lambda c: F.coalesce(F.array_join(c, " | "), F.lit("")).alias(c)
-    return _packets(spark, folder).select("topic_id", text("core_concepts"), text("supporting_chunks"), text("retrieved_equations"))
+    """Texts and concepts joined, paths and equations as in the prompts."""
+    text = lambda c: F.array_join(c, " | ").alias(c)
+    p = _packets(spark, folder)
+    return p.select("topic_id", text("core_concepts"), text("supporting_chunks"), *[X.render_paths(F.col("concept_paths")[k]).alias(f"concept_paths_{k}") for k in ("2_hop", "3_hop")], *[X.render_equations(F.col(k)).alias(k) for k in ("retrieved_equations", "related_equations")])
 
 
 @query()
 def rendered_context(spark: SparkSession, folder: str) -> DataFrame:
     """The prompts' contexts per topic and difficulty, with the paths that start at the topic's concepts."""
-    e = G.undirected(load(spark, folder, "entity_edges"))
-    packets = _packets(spark, folder)
-    core = packets.select("topic_id", F.explode("core_concepts").alias("entity"))
-
-    def rendered(hops: int, name: str, **limits: int) -> DataFrame:
-        n = F.split("nodes", " > ")
-        steps = F.transform(F.sequence(F.lit(1), F.lit(hops)), lambda i: F.struct(F.element_at(n, i).alias("source"), F.lit("relates_to").alias("relation"), F.element_at(n, i + 1).alias("target")))
-        lines = G.paths(e, hops, **limits).withColumn("line", X.render_path(F.col("quality"), F.col("path_score"), steps))
-        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity", "quality", "path_rank", "line"))), lambda x: x.line), "\n")
-        return core.join(lines, "entity").groupBy("topic_id").agg(listed.alias(name))
-
-    two, three = rendered(2, "two", strong=5, weak=3), rendered(3, "three", strong=3, weak=2)
-    eqs = F.transform(F.coalesce("retrieved_equations", F.array().cast("array<string>")), lambda q: F.struct(F.col("topic_id").alias("source"), q.alias("target")))
-    rows = packets.join(two, "topic_id", "left").join(three, "topic_id", "left").withColumn("difficulty", F.explode(F.array(*map(F.lit, ("easy", "medium", "hard")))))
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    text = X.render_context(F.col("difficulty"), empty(X.render_list(F.col("core_concepts"))), X.render_list(F.col("supporting_chunks")), empty(F.col("two")), empty(F.col("three")), X.render_equations(eqs), X.render_equations(eqs))
+    rows = _packets(spark, folder).withColumn("difficulty", F.explode(F.array(*map(F.lit, ("easy", "medium", "hard")))))
+    two, three = (X.render_paths(F.col("concept_paths")[k]) for k in ("2_hop", "3_hop"))
+    text = X.render_context(F.col("difficulty"), X.render_list(F.col("core_concepts")), X.render_list(F.col("supporting_chunks")), two, three, X.render_equations(F.col("retrieved_equations")), X.render_equations(F.col("related_equations")))
     return rows.select("topic_id", "difficulty", text.alias("context"))
 
 

@@ -79,6 +79,27 @@ def test_paths_against_all_paths(spark):
         assert got == want
 
 
+def test_packet_and_rendered_context(spark, tmp_path):
+    from loomgraph.plans import graph_queries
+
+    ents = lambda *names: [(n, n, "equation" if "=" in n else "concept", 1.0) for n in names]
+    rows = [("c1", "t", "s", "Text one.", ents("a", "b", "x = 1")), ("c2", "t", "s", "Text two.", ents("b", "d", "f", "x = 1")), ("c4", "t", "r", "Text two.", None), ("c3", "u", "s", "Other.", ents("a", "b", "d"))]
+    vector = [1.0] * 64
+    spark.createDataFrame([(*r[:4], vector, r[4]) for r in rows], f"chunk_id string, document_id string, source_id string, text string, embeddings array<double>, entities {ENT}").write.parquet(str(tmp_path / "chunks.parquet"))
+    edges = [("c1", "a", "uses", "b", "semantic", 0.9, "1"), ("c2", "b", "part_of", "d", "contextual", 0.5, "2"), ("c2", "d", "is_a", "f", "semantic", 0.8, "3"), ("c3", "a", "beats", "d", "semantic", 1.0, "4"), ("c1", "a", "r", "elsewhere", "semantic", 1.0, "5"), ("lost", "b", "r", "f", "semantic", 1.0, "6"), ("c2", "f", "co_occurs", "x = 1", "contextual", 0.1, "7")]
+    edge_frame(spark, edges).write.parquet(str(tmp_path / "entity_edges.parquet"))
+    text = {(r.topic_id, r.difficulty): r.context for r in graph_queries.rendered_context(spark, str(tmp_path)).collect()}
+    common = "## Available Entities\n['a', 'b', 'd', 'f', 'x = 1']\n\n## Supporting Knowledge\n['Text one.', 'Text two.']\n"
+    two = ["[w|0.4500] a- uses -> b- part_of -> d", "[w|0.4000] b- part_of -> d- is_a -> f", "[w|0.4500] d- part_of -> b- uses -> a", "[w|0.4000] f- is_a -> d- part_of -> b"]
+    three = ["[w|0.3600] a- uses -> b- part_of -> d- is_a -> f", "[w|0.3600] f- is_a -> d- part_of -> b- uses -> a"]
+    assert text["t", "easy"] == common
+    assert text["t", "medium"] == common + "\n" + "\n".join(["## Concept Paths (2-Hop)", *two, "", "## Retrieved Equations", "[EQ] x = 1 \n INTUITION: Text one.", "[EQ] x = 1 \n INTUITION: Text two.", ""])
+    assert text["t", "hard"] == common + "\n" + "\n".join(["## Concept Paths (3-Hop)", *three, "", "## Related Equations", "[EQ] x = 1 \n INTUITION: f", ""])
+    assert "(2-Hop)\n\n\n## Retrieved Equations\nNone\n" in text["u", "medium"]
+    packet = {r.topic_id: r for r in graph_queries.topic_packet(spark, str(tmp_path)).collect()}
+    assert packet["t"].supporting_chunks == "Text one. | Text two." and packet["t"].concept_paths_2_hop == "\n".join(two) and packet["u"].core_concepts == "a | b | d"
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 3), (7, 6), (7, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a int, b int"), "a", "b").collect()}
