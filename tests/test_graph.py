@@ -41,6 +41,14 @@ def test_cooccurrence(spark):
     assert got == {("risk", "loss fn", "The "), ("loss fn", "bias", "Bias")}
 
 
+def test_long_names_are_extracted(spark):
+    k = spark.createDataFrame([("deep net", "method", ["the very long name of a deep net"]), ("loss", "term", None)], "name string, label string, aliases array<string>")
+    c = spark.createDataFrame([("c", "Here is the Very long name of a deep-net, and loss."), ("d", None), ("e", "loss"), ("f", "")], "chunk_id string, text string")
+    got = {(r.chunk_id, r.text, r.normalized_text) for r in L.extract_entities(c, k).collect()}
+    assert got == {("c", "the very long name of a deep net", "deep net"), ("c", "deep net", "deep net"), ("c", "loss", "loss"), ("e", "loss", "loss")}
+    assert L.extract_entities(c, k.where("false")).count() == 0
+
+
 def test_paths_by_hand(spark):
     e = edge_frame(spark, [("c", "a", "r", "b", "semantic", 0.9, "1"), ("c", "b", "r", "d", "contextual", 0.5, "2"), ("c", "b", "r", "f", "semantic", 0.8, "3"), ("c", "f", "r", "a", "semantic", 0.1, "4"), ("c", "a", "r", "a", "semantic", 1.0, "5"), ("c", "a", "r", None, "semantic", 1.0, "6"), ("c", "a", "r", "g", "semantic", float("nan"), "7")])
     u = G.undirected(e)
