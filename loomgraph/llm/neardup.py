@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import setjoin as J
-from loomgraph.runtime import materialize
 
 U = np.uint64
 _WORD = np.zeros(256, bool)
@@ -81,17 +78,9 @@ def similar_texts(items: DataFrame, key: str, text: str, threshold: float = 0.8,
     def extract(b: pd.DataFrame) -> J.Sets:
         return shingle_sets(list(b["t"]), width, least_words)
 
-    scanned = materialize(J.scan(rows, "k", extract))
-    links = _links(rows, extract, scanned, threshold)
-    return J.members(scanned, "k").withColumnRenamed("k", key), links
-
-
-def _links(rows: DataFrame, extract: Callable[[pd.DataFrame], J.Sets], scanned: DataFrame, t: float) -> DataFrame:
-    counts = J.sketch(scanned)
-    postings = scanned.where("kind = 0").agg(F.sum(F.col("size") - F.ceil(F.col("size") * t) + 1)).first()[0] or 0
-    candidates = materialize(J.class_pairs(rows, extract, t, counts, postings))
-    ends = candidates.select(F.col("a_hi").alias("hi")).union(candidates.select(F.col("b_hi").alias("hi")))
-    return J.verified(candidates, J.sets_of(rows, extract, J.marked(ends)), t)
+    # a word and the mark after it have some six characters
+    members, links = J.similar_classes(rows, "k", extract, F.length("t") / 6, threshold)
+    return members.withColumnRenamed("k", key), links
 
 
 def expanded(members: DataFrame, key: str, links: DataFrame, a: str, b: str) -> DataFrame:

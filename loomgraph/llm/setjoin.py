@@ -1,32 +1,41 @@
 """Exact set-similarity join: the common core of near-duplicate texts and of similar value sets.
 
 Sets are arrays of 64-bit token hashes. Equal sets form a class, named by a 128-bit signature that every task computes
-alike, so that copies never multiply work. The join has three steps.
-
-1. One scan counts the tokens in a sketch of fixed size (WIDTH counters), which orders tokens from rare to frequent. The
-   order only has to be the same everywhere for the prefix filter to be exact; the sketch's errors cost time, no pairs.
-2. Each class sends its prefix (the rarest tokens, of which two similar sets share at least one) to the partitions of
-   these tokens, packed into binary blocks: a class's size and payload once per partition, then its tokens.
-   A token of more than HEAVY sets is split into pairs of blocks of sets, so that no list grows without bound.
-3. A partition sorts each token's list by size bucket and position. A probe skips, by binary search in each bucket, all
-   entries whose position already rules the required overlap out, then a payload test decides or thins the rest.
+alike, so that copies never multiply work. The join has four steps.
+
+1. One scan counts the tokens in a sketch whose width follows their number (at most 2^24 counters, 32 MB), which orders
+   tokens from rare to frequent. The order only has to be the same everywhere for the prefix filter to be exact; the
+   sketch's errors cost time, no pairs.
+2. Sets of more than LARGE tokens are dealt into virtual sets by their tokens' hash: two sets that overlap by t overlap by
+   t in one of these at least. So every set to be joined is short, and what travels with a token stays of fixed size.
+3. Each virtual set sends its prefix (the rarest tokens, of which two similar sets share at least one) to the partitions of
+   these tokens, packed into binary blocks of (class, size, parity bitmap) and (token, position). A partition sorts each
+   token's list by size bucket and position; a probe skips, by binary search in each bucket, all entries whose position
+   already rules the required overlap out, and the bitmaps thin the rest. Tokens whose lists are truly longer than HEAVY
+   (counted exactly) are split into pairs of blocks, so no list grows without bound.
+4. The pairs left fetch their classes' whole sets and are verified, answers derived from highly similar sets' answers.
 """
 
 from __future__ import annotations
 
-import pickle
+import math
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH_BITS, STRIPES = 20, 64
+from loomgraph.runtime import materialize
+
+STRIPES = 64
+MOST_BITS = 24
 HEAVY = 20_000
 PER_PART = 1_500_000
-MARK_BITS = 23
+LARGE = 128
+WORDS = 3
 U = np.uint64
 
 
@@ -102,17 +111,6 @@ def bitmaps(sets: Sets, words: int) -> np.ndarray:
     return np.packbits(odd.reshape(len(sets.row), bits), axis=1).view(U)
 
 
-WIDE_FROM, WIDE_WORDS = 160, 32
-
-
-def wide_bitmaps(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """Longer bitmaps of the large sets, and each set's row among them (-1: none)."""
-    large = np.flatnonzero(sets.size > WIDE_FROM)
-    at = np.full(len(sets.row), -1, np.int32)
-    at[large] = np.arange(len(large))
-    return bitmaps(sets.take(large), WIDE_WORDS) if len(large) else np.zeros((0, WIDE_WORDS), U), at
-
-
 def needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """The least overlap of sets of sizes a and b at Jaccard t."""
     return np.ceil((a + b) * (t / (1 + t)) - 1e-9).astype(np.int64)
@@ -194,7 +192,22 @@ def derived_overlaps(sets: Sets, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common
 
 
-def scan(records: DataFrame, key: str, extract: Extract) -> DataFrame:
+def coded(counts: np.ndarray | int) -> np.ndarray:
+    """Counts on a logarithmic scale of 16 bits, in the same order."""
+    return np.minimum(np.round(np.log2(1 + np.asarray(counts, np.float64)) * 2048), 65535).astype(np.uint16)
+
+
+def sketch_bits(tokens: float) -> int:
+    """The sketch has a counter for 16 tokens, but 2^16 at least and 2^MOST_BITS at most."""
+    return min(MOST_BITS, max(16, math.ceil(math.log2(max(tokens, 1) / 16))))
+
+
+def cells(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The counter of each token in a sketch of ``size`` counters, a power of two."""
+    return (tokens >> U(64 - (size - 1).bit_length())).astype(np.int64)
+
+
+def scan(records: DataFrame, key: str, extract: Extract, bits: int) -> DataFrame:
     """One pass: (kind 0) each key with its class signature and set size; (kind 1) stripes of the partition's token counts."""
     kind = records.schema[key].dataType.simpleString()
 
@@ -204,30 +217,35 @@ def scan(records: DataFrame, key: str, extract: Extract) -> DataFrame:
             sets = extract(b)
             sig = sets.signatures()
             once = sets.take(first_of_each(sig))
-            cells = (once.tokens >> U(64 - WIDTH_BITS)).astype(np.int64)
-            here = np.bincount(cells, minlength=1 << WIDTH_BITS)
-            counts = here if counts is None else counts + here
+            if counts is None:
+                counts = np.zeros(1 << bits, np.uint32)
+            at, n = np.unique(cells(once.tokens, len(counts)), return_counts=True)
+            counts[at] += n.astype(np.uint32)
             s = sig.view(np.int64)
             yield pd.DataFrame({"kind": 0, key: b[key].to_numpy()[sets.row], "hi": s[:, 0], "lo": s[:, 1], "size": sets.size, "counts": None})
         if counts is not None:
             stripes = np.split(np.minimum(counts, 65535).astype(np.uint16), STRIPES)
-            yield pd.DataFrame({"kind": 1, key: None, "hi": range(STRIPES), "lo": 0, "size": 0, "counts": [s.tobytes() for s in stripes]})
+            yield pd.DataFrame({"kind": 1, key: None, "hi": range(STRIPES), "lo": 0, "size": 0, "counts": [zlib.compress(s.tobytes(), 1) for s in stripes]})
 
     return records.mapInPandas(run, f"kind int, `{key}` {kind}, hi long, lo long, size long, counts binary")
 
 
-def sketch(scanned: DataFrame) -> np.ndarray:
-    """The summed token counts: a fixed WIDTH of 4 MB, whatever the input."""
+def sketch(scanned: DataFrame, bits: int) -> np.ndarray:
+    """The summed token counts, coded in 16 bits: 2^bits of them, 32 MB at most."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint16).astype(np.uint32) for c in pdf["counts"])
-        return pd.DataFrame({"stripe": [pdf["hi"].iloc[0]], "counts": [total.astype(np.uint32).tobytes()]})
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for stripe, raw in zip(b["hi"], b["counts"]):
+                part = np.frombuffer(zlib.decompress(raw), np.uint16)
+                total[stripe] = total.get(stripe, 0) + part.astype(np.uint32)
+        yield pd.DataFrame({"stripe": list(total), "counts": [coded(c).tobytes() for c in total.values()]})
 
-    rows = scanned.where("kind = 1").groupBy("hi").applyInPandas(add, "stripe long, counts binary").collect()
-    out = np.zeros(1 << WIDTH_BITS, np.uint32)
+    rows = scanned.where("kind = 1").select("hi", "counts").repartition(F.col("hi")).mapInPandas(add, "stripe long, counts binary").collect()
+    out = np.zeros(1 << bits, np.uint16)
     width = len(out) // STRIPES
     for stripe, counts in rows:
-        out[stripe * width : (stripe + 1) * width] = np.frombuffer(counts, np.uint32)
+        out[stripe * width : (stripe + 1) * width] = np.frombuffer(counts, np.uint16)
     return out
 
 
@@ -236,21 +254,68 @@ def members(scanned: DataFrame, key: str) -> DataFrame:
     return scanned.where("kind = 0").select(key, "hi", "lo", "size").distinct()
 
 
-def _prefixes(sets: Sets, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, token, position, count) of the prefixes in the order from rare to frequent; tokens of one set are left out."""
+def level_of(size: np.ndarray) -> np.ndarray:
+    """How often a set of this size is dealt in four: as often as leaves at most LARGE tokens on average."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / LARGE) / 2 - 1e-9)).astype(np.int64)
+
+
+def virtual(sets: Sets, t: float) -> tuple[Sets, np.ndarray]:
+    """Virtual sets (row: the set they come from) and the level of each.
+
+    A set is dealt at its own level, and at the level of the smallest set that it could be similar to: the smaller set of a
+    similar pair decides the level at which they meet.
+    """
+    own = level_of(sets.size)
+    low = level_of(np.ceil(sets.size * t - 1e-9))
+    all_ = np.arange(len(own))
+    which, level = np.concatenate([all_, all_[low < own]]), np.concatenate([own, low[low < own]])
+    dealt = sets.take(which)
+    owner = dealt.owner()
+    first = np.cumsum(4**level) - 4**level
+    hand = first[owner] + (mix(dealt.tokens ^ U(0xA0761D6478BD642F)) % (4**level)[owner].astype(U)).astype(np.int64)
+    order = np.argsort(hand, kind="stable")
+    size = np.bincount(hand, minlength=int((4**level).sum()))
+    some = np.flatnonzero(size)
+    start = np.concatenate([[0], np.cumsum(size[some])])
+    back = np.repeat(np.arange(len(which)), 4**level)[some]
+    return Sets(which[back], start, dealt.tokens[order]), level[back]
+
+
+def prefixes(sets: Sets, codes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, token, position, coded count) of the prefixes in the order from rare to frequent; tokens of one set are left out."""
     owner = sets.owner()
-    freq = counts[(sets.tokens >> U(64 - WIDTH_BITS)).astype(np.int64)]
-    order = stable(stable(np.arange(len(owner)), np.minimum(freq, 65535)), owner)  # equal counts: by token
+    freq = codes[cells(sets.tokens, len(codes))]
+    order = stable(stable(np.arange(len(owner)), freq), owner)  # equal counts: by token
     owner, tokens, freq = owner[order], sets.tokens[order], freq[order]
     pos = np.arange(len(owner)) - sets.start[:-1][owner]
     size = sets.size
     length = size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
-    keep = (pos < length[owner]) & (freq > 1)
+    keep = (pos < length[owner]) & (freq > coded(1))
     return owner[keep], tokens[keep], pos[keep], freq[keep]
 
 
-def blocks(records: DataFrame, extract: Extract, counts, t: float, parts: int, words: int) -> DataFrame:
-    """Packed prefixes by partition. words: 64-bit words of the bitmap payload, or 0 for the sets themselves."""
+def _postings(sets: Sets, codes: np.ndarray, t: float) -> tuple[Sets, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The virtual sets, and (virtual set, list name, position, coded count) of their prefixes; a list is a token at a level."""
+    parts, level = virtual(sets, t)
+    owner, token, pos, freq = prefixes(parts, codes, t)
+    return parts, owner, mix(token + level[owner].astype(U) * U(0xE7037ED1A0B428DB)), pos, freq
+
+
+def posting_estimate(size: Column, t: float) -> Column:
+    """At least the number of a set's postings."""
+    once = size - F.ceil(size * t) + 1
+    return F.when(size <= LARGE, once).otherwise(2 * (once + size / (LARGE / 4) + 4))
+
+
+def heavy_lists(records: DataFrame, extract: Extract, codes, t: float, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """(names, lengths) of the lists with more than ``heavy`` classes, by an exact count.
+
+    Only tokens whose sketched count exceeds ``heavy`` come into question, as the sketch never counts too few; where there is
+    none, nothing is read. The result has at most postings / heavy entries.
+    """
+    limit = coded(heavy)
+    if not (codes.value > limit).any():
+        return np.zeros(0, U), np.zeros(0, np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -258,33 +323,74 @@ def blocks(records: DataFrame, extract: Extract, counts, t: float, parts: int, w
             sig = sets.signatures()
             first = first_of_each(sig)
             sets, sig = sets.take(first), sig[first]
-            owner, token, pos, freq = _prefixes(sets, counts.value, t)
-            heavy = freq > HEAVY
-            if heavy.any():
-                n = -(-freq[heavy].astype(np.int64) // HEAVY)
-                at = np.repeat(np.flatnonzero(heavy), n)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                block = (sig[owner[at], 1] % np.repeat(n, n).astype(U)).astype(np.int64)
-                lo, hi = np.minimum(block, other).astype(U), np.maximum(block, other).astype(U)
-                owner = np.concatenate([owner[~heavy], owner[at]])
-                pos = np.concatenate([pos[~heavy], pos[at]])
-                token = np.concatenate([token[~heavy], mix(token[at] + lo * U(0x9E3779B97F4A7C15) + mix(hi))])
-            part = (mix(token) % U(parts)).astype(np.int64)
+            parts, owner, name, _, freq = _postings(sets, codes.value, t)
+            k = np.flatnonzero(freq > limit)
+            yield pd.DataFrame({"name": name[k].view(np.int64), "lo": sig[parts.row[owner[k]], 1].view(np.int64)})
+
+    rows = records.mapInPandas(run, "name long, lo long").groupBy("name").agg(F.count_distinct("lo").alias("n")).where(F.col("n") > heavy).collect()
+    name, n = np.array([r[0] for r in rows], np.int64).view(U), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(name)
+    return name[order], n[order]
+
+
+def spread(owner: np.ndarray, name: np.ndarray, pos: np.ndarray, ids: np.ndarray, names: np.ndarray, lengths: np.ndarray, heavy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings with those of heavy lists copied to the pairs of blocks that the set's block (by its id) is part of."""
+    if not len(names) or not len(name):
+        return owner, name, pos
+    at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+    hot = names[at] == name
+    k = np.flatnonzero(hot)
+    n = -(-lengths[at[k]] // heavy)
+    copy = np.repeat(k, n)
+    other = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+    block = (ids[owner[copy]] % np.repeat(n, n).astype(U)).astype(np.int64)
+    lo, hi = np.minimum(block, other).astype(U), np.maximum(block, other).astype(U)
+    split = mix(name[copy] + lo * U(0x9E3779B97F4A7C15) + mix(hi))
+    return np.concatenate([owner[~hot], owner[copy]]), np.concatenate([name[~hot], split]), np.concatenate([pos[~hot], pos[copy]])
+
+
+def fitting(x: np.ndarray) -> np.ndarray:
+    """Non-negative whole numbers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    return b"".join([np.array([len(arrays), *(v for a in arrays for v in (len(a), a.itemsize))], np.int32).tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    shape = np.frombuffer(raw, np.int32, 2 * n, 4).reshape(n, 2)
+    out, at = [], 4 + 8 * n
+    for count, width in shape.tolist():
+        out.append(np.frombuffer(raw, f"u{width}", count, at))
+        at += count * width
+    return out
+
+
+def blocks(records: DataFrame, extract: Extract, codes, heavy: tuple[np.ndarray, np.ndarray], t: float, parts: int, limit: int = HEAVY) -> DataFrame:
+    """Packed prefixes by partition: of each virtual set met there the class (64 bits of its name), size and bitmap, then the
+    postings: list (32 bits; lists that coincide cost time only), set within the block, position."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = extract(b)
+            sig = sets.signatures()
+            first = first_of_each(sig)
+            sets, ids = sets.take(first), sig[first, 1]
+            short, owner, name, pos, _ = _postings(sets, codes.value, t)
+            ids = ids[short.row]
+            owner, name, pos = spread(owner, name, pos, ids, *heavy, limit)
+            part = (name % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            owner, token, pos, part = owner[order], token[order], pos[order], part[order]
+            owner, name, pos, part = owner[order], (name[order] >> U(32)).astype(np.uint32), pos[order], part[order]
             ends = np.searchsorted(part, np.arange(parts + 1))
-            payload = bitmaps(sets, words) if words else None
-            wide, at = wide_bitmaps(sets) if words else (None, None)
+            marks, size = bitmaps(short, WORDS), short.size
             out = []
-            for q in range(parts):
+            for q in np.flatnonzero(np.diff(ends)).tolist():
                 s = slice(ends[q], ends[q + 1])
-                if s.start == s.stop:
-                    continue
                 used, local = np.unique(owner[s], return_inverse=True)
-                own = sets.take(used)
-                block = {"sig": sig[used], "size": own.size.astype(np.int32), "token": token[s], "rec": local.astype(np.int32), "pos": pos[s].astype(np.int32)}
-                block |= {"bits": payload[used], "wide": wide[at[used][at[used] >= 0]]} if words else {"tokens": own.tokens}
-                out.append((q, pickle.dumps(block, 5)))
+                out.append((q, pack([ids[used], fitting(size[used]), marks[used].ravel(), name[s], fitting(local), fitting(pos[s])])))
             yield pd.DataFrame(out, columns=["part", "block"])
 
     return records.mapInPandas(run, "part int, block binary")
@@ -339,103 +445,102 @@ def probe(size: np.ndarray, token: np.ndarray, rec: np.ndarray, pos: np.ndarray,
         lo = hi
 
 
-def _merge(found: list[dict], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, object]:
-    sig = np.concatenate([d["sig"] for d in found])
-    base = np.cumsum([0, *(len(d["sig"]) for d in found)])
-    rec = np.concatenate([d["rec"] + o for d, o in zip(found, base)])
-    size = np.concatenate([d["size"] for d in found]).astype(np.int64)
-    # a class met in several blocks counts once
-    _, first, inverse = np.unique(sig.view("V16").ravel(), return_index=True, return_inverse=True)
-    payload: object
-    if words:
-        at = np.full(len(size), -1, np.int64)
-        at[size > WIDE_FROM] = np.arange((size > WIDE_FROM).sum())
-        payload = (np.concatenate([d["bits"] for d in found])[first], np.concatenate([d["wide"] for d in found]), at[first])
-    else:
-        payload = Lookup(Sets(np.arange(len(size)), np.concatenate([[0], np.cumsum(size)]), np.concatenate([d["tokens"] for d in found])).take(first))
-    token, pos = np.concatenate([d["token"] for d in found]), np.concatenate([d["pos"] for d in found])
-    rec = inverse[rec]
-    # and so does each of its postings
-    once = np.unique(np.stack([token, rec.astype(U)], 1).view("V16").ravel(), return_index=True)[1]
-    return sig[first], size[first], token[once], rec[once], pos[once], payload  # type: ignore[return-value]
-
-
-def class_pairs(records: DataFrame, extract: Extract, t: float, counts: np.ndarray, postings: int, words: int = 4) -> DataFrame:
-    """Pairs of different classes, as (a_hi, a_lo, b_hi, b_lo), a before b, each once.
-
-    With a bitmap payload (words > 0) these are all similar pairs and a few others, still to be verified; with the sets
-    as payload (words = 0) exactly the pairs with Jaccard of at least t.
-    """
+def merge(found: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(class, size, bitmap) of the sets of all blocks, and (list, set, position) of the postings, each once."""
+    got = [unpack(x) for x in found]
+    ids, size, marks, token = (np.concatenate([g[k] for g in got]) for k in range(4))
+    base = np.cumsum([0, *(len(g[0]) for g in got)])
+    rec = np.concatenate([g[4].astype(np.int64) + o for g, o in zip(got, base)])
+    pos = np.concatenate([g[5].astype(np.int64) for g in got])
+    # copies of a class send the same postings from several batches
+    order = np.lexsort((ids[rec], token))
+    token, rec, pos = token[order], rec[order], pos[order]
+    once = np.ones(len(token), bool)
+    once[1:] = (token[1:] != token[:-1]) | (ids[rec[1:]] != ids[rec[:-1]])
+    return ids, size.astype(np.int64), marks.reshape(len(ids), WORDS), token[once], rec[once], pos[once]
+
+
+def thinned(found: list[bytes], t: float) -> np.ndarray:
+    """(n, 2) classes of the pairs that positions and bitmaps leave open, each once, the smaller first."""
+    ids, size, marks, token, rec, pos = merge(found)
+    seen = [np.zeros((0, 2), np.int64)]
+    n = np.int64(len(size))
+    for a, b in probe(size, token, rec, pos, t):
+        code = np.unique(a * n + b)
+        a, b = code // n, code % n
+        most = size[a] + size[b] - 2 * needed(size[a], size[b], t)
+        ok = (np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64) <= most) & (ids[a] != ids[b])
+        pair = np.sort(np.stack([ids[a[ok]], ids[b[ok]]], 1).view(np.int64), axis=1)
+        seen.append(pair)
+    return np.unique(np.concatenate(seen), axis=0)
+
+
+def class_pairs(records: DataFrame, extract: Extract, t: float, codes: np.ndarray, postings: int, heavy: int = HEAVY, per_part: int = PER_PART) -> DataFrame:
+    """Pairs (a, b) of 64-bit class names, a before b, each once: all pairs with Jaccard of at least t and a few others."""
     spark = records.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(width, -(-postings // PER_PART))
-    packed = blocks(records, extract, spark.sparkContext.broadcast(counts), t, parts, words)
+    shared = spark.sparkContext.broadcast(codes)
+    lists = heavy_lists(records, extract, shared, t, heavy)
+    copies = int((lists[1] * (-(-lists[1] // heavy) - 1)).sum())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(int(postings) + copies) // per_part))
+    packed = blocks(records, extract, shared, lists, t, parts, heavy)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [pickle.loads(x) for b in batches for x in b["block"]]
-        if not found:
-            return
-        sig, size, token, rec, pos, payload = _merge(found, words)
-        found.clear()
-        seen: list[np.ndarray] = []
-        n = np.int64(len(size))
-        for a, b in probe(size, token, rec, pos, t):
-            code = np.unique(a * n + b)
-            a, b = code // n, code % n
-            if words:
-                ok = bitmap_test(*payload, size, a, b, t)
-            else:
-                ok = payload.overlap(a, b) >= needed(size[a], size[b], t)
-            seen.append(code[ok])
-        if seen:
-            code = np.unique(np.concatenate(seen))
-            a, b = sig[code // n].view(np.int64), sig[code % n].view(np.int64)
-            swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-            a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-            yield pd.DataFrame({"a_hi": a[:, 0], "a_lo": a[:, 1], "b_hi": b[:, 0], "b_lo": b[:, 1]})
-
-    return packed.repartitionById(parts, "part").mapInPandas(run, "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
-
-
-def bitmap_test(bits: np.ndarray, wide: np.ndarray, at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """Whether the bitmaps leave it open that a and b differ in few enough tokens for a Jaccard of t."""
-    most = size[a] + size[b] - 2 * needed(size[a], size[b], t)
-    ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= most
-    k = np.flatnonzero(ok & (at[a] >= 0) & (at[b] >= 0))
-    ok[k] = np.bitwise_count(wide[at[a[k]]] ^ wide[at[b[k]]]).sum(1, dtype=np.int64) <= most[k]
-    return ok
-
-
-def marked(signatures: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size (1 MB) with a bit for each signature."""
+        found = [x for b in batches for x in b["block"]]
+        if found:
+            pairs = thinned(found, t)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return packed.repartitionById(parts, "part").mapInPandas(run, "a long, b long").distinct()
+
+
+def similar_classes(records: DataFrame, key: str, extract: Extract, tokens: Column, t: float) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the class of every set (key, hi, lo, size), and the pairs of different classes with a Jaccard of at
+    least t (a_hi, a_lo, b_hi, b_lo, similarity), each once. tokens: about the number of a record's tokens."""
+    bits = sketch_bits(records.agg(F.sum(tokens)).first()[0] or 0)
+    scanned = materialize(scan(records, key, extract, bits))
+    postings = scanned.where("kind = 0").agg(F.sum(posting_estimate(F.col("size"), t))).first()[0] or 0
+    candidates = materialize(class_pairs(records, extract, t, sketch(scanned, bits), postings))
+    ends = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id")))
+    return members(scanned, key), verified(candidates, sets_of(records, extract, marked(ends, 2 * candidates.count())), t)
+
+
+def marked(ids: DataFrame, n: int) -> np.ndarray:
+    """A bit filter with a bit for each id: 16 bits for each of the n ids, at most 2^27 (16 MB) in all."""
+    bits = min(27, max(12, math.ceil(math.log2(16 * max(n, 1)))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << MARK_BITS, bool)
+        held = np.zeros(1 << bits, bool)
         for b in batches:
-            bits[b["hi"].to_numpy().view(U) >> U(64 - MARK_BITS)] = True
-        packed = np.packbits(bits)
-        yield pd.DataFrame({"k": range(16), "bits": [x.tobytes() for x in np.split(packed, 16)]})
+            held[b["id"].to_numpy().view(U) >> U(64 - bits)] = True
+        packed = np.packbits(held)
+        yield pd.DataFrame({"k": range(16), "bits": [zlib.compress(x.tobytes(), 1) for x in np.split(packed, 16)]})
 
-    def either(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
-
-    rows = signatures.mapInPandas(run, "k int, bits binary").groupBy("k").applyInPandas(either, "k int, bits binary").collect()
-    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
-    for k, bits in rows:
-        out[k * len(out) // 16 : (k + 1) * len(out) // 16] = np.frombuffer(bits, np.uint8)
+    def either(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b["k"], b["bits"]):
+                part = np.frombuffer(zlib.decompress(raw), np.uint8)
+                total[k] = total[k] | part if k in total else part
+        yield pd.DataFrame({"k": list(total), "bits": [x.tobytes() for x in total.values()]})
+
+    rows = ids.mapInPandas(run, "k int, bits binary").repartition(F.col("k")).mapInPandas(either, "k int, bits binary").collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for k, x in rows:
+        out[k * len(out) // 16 : (k + 1) * len(out) // 16] = np.frombuffer(x, np.uint8)
     return out
 
 
 def sets_of(records: DataFrame, extract: Extract, bits: np.ndarray) -> DataFrame:
     """(hi, lo, tokens) of the classes that the bit filter holds, each once."""
     shared = records.sparkSession.sparkContext.broadcast(bits)
+    width = (8 * len(bits) - 1).bit_length()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = extract(b)
             sig = sets.signatures()
             first = first_of_each(sig)
-            at = (sig[first, 0] >> U(64 - MARK_BITS)).astype(np.int64)
+            at = (sig[first, 1] >> U(64 - width)).astype(np.int64)
             first = first[(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
             sets, s = sets.take(first), sig[first].view(np.int64)
             yield pd.DataFrame({"hi": s[:, 0], "lo": s[:, 1], "tokens": [sets.tokens[i:j].tobytes() for i, j in zip(sets.start[:-1], sets.start[1:])]})
@@ -444,10 +549,10 @@ def sets_of(records: DataFrame, extract: Extract, bits: np.ndarray) -> DataFrame
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """The pairs whose sets have a Jaccard of at least t, with their similarity. Sets come by two joins on the signature."""
-    a = sets.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("tokens").alias("a_tokens"))
-    b = sets.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("tokens").alias("b_tokens"))
-    rows = pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"])
+    """The pairs whose sets have a Jaccard of at least t, with their similarity. Sets come by two joins on the 64-bit name;
+    should two classes share it, both are compared."""
+    a, b = (sets.select(F.col("lo").alias(p), F.col("hi").alias(f"{p}_hi"), F.col("tokens").alias(f"{p}_tokens")) for p in "ab")
+    rows = pairs.join(a, "a").join(b, "b").withColumnsRenamed({"a": "a_lo", "b": "b_lo"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import setjoin as J
-from loomgraph.runtime import materialize
 
 U = np.uint64
 
@@ -21,11 +20,10 @@ def normal_set(values: Column) -> Column:
 def similar_sets(records: DataFrame, key: str, values: Column, threshold: float = 0.6, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links): the class of every set, and all pairs of different classes with a Jaccard of at least ``threshold``.
 
-    Pivot partitioning with the elements themselves as pivots: under Jaccard distance a set is nearest to the
-    one-element sets of its own elements (1 - 1/size; all others are at 1), ties go to the rarest element, and the set
-    is replicated to the further elements a set within the distance bound could be assigned to. That bound comes from
-    the overlap two such sets must have, as the triangle inequality alone excludes no cell once distances are near 1 (see
-    the README for figures). Within a cell the join is exact. Equal sets form one class and are joined once.
+    The named pivot partitioning sends nearly every set to nearly every cell here (figures in the README), so this is a
+    prefix join instead: a set is assigned to the cells of its rarest values, as many as the overlap at the threshold asks
+    for, two similar sets meet in one at least, and what meets is verified on the whole sets. Equal sets form one class and
+    are joined once.
 
     Defined cases: null elements are dropped, null and empty lists and sets of fewer than ``least`` values take part in
     nothing; repeated rows count once; a key with several sets belongs to several classes; sets of any size take part
@@ -42,10 +40,8 @@ def similar_sets(records: DataFrame, key: str, values: Column, threshold: float
         owner = np.repeat(np.arange(len(size)), size)
         return J.ragged(np.arange(len(size)), owner, J.mix(np.concatenate(lists).astype(np.int64).view(U)), least)
 
-    scanned = materialize(J.scan(rows, "k", extract))
-    counts = J.sketch(scanned)
-    postings = scanned.where("kind = 0").agg(F.sum(F.col("size") - F.ceil(F.col("size") * threshold) + 1)).first()[0] or 0
-    return J.members(scanned, "k").withColumnRenamed("k", key), J.class_pairs(rows, extract, threshold, counts, postings, words=0)
+    members, links = J.similar_classes(rows, "k", extract, F.size("h"), threshold)
+    return members.withColumnRenamed("k", key), links
 
 
 def link_counts(members: DataFrame, key: str, links: DataFrame) -> DataFrame:

@@ -72,49 +72,77 @@ def test_copies_stay_one_class(spark):
     assert neardup.groups(members, "k", links).select("group_id").distinct().count() == 1
 
 
-def test_heavy_tokens_are_split(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "HEAVY", 7)
-    rng = random.Random(2)
-    lists = {f"k{i:03d}": ["hot", "warm", *rng.sample("abcdefghij", 3)] for i in range(120)}
-    df = spark.createDataFrame(list(lists.items()), "k string, v array<string>")
-    records = df.select("k", F.array_sort(F.transform("v", lambda x: F.xxhash64(x))).alias("h"))
-
-    def extract(b):
-        n = [len(x) for x in b["h"]]
-        return setjoin.ragged(np.arange(len(n)), np.repeat(np.arange(len(n)), n), setjoin.mix(np.concatenate(list(b["h"])).astype(np.int64).view(np.uint64)))
-
-    pdf = records.toPandas()
-    sets = extract(pdf)
-    counts = np.bincount((sets.tokens >> np.uint64(44)).astype(int), minlength=1 << 20).astype(np.uint32)
-    heavy = setjoin.HEAVY
-    assert (counts > heavy).any()
-    # in one process, as workers don't see the patched value
-    sig = sets.signatures()
-    names = {sig[i].tobytes(): i for i in range(len(sig))}
-    classes = {i: {int(x) for x in sets.tokens[sets.start[i] : sets.start[i + 1]]} for i in names.values()}
-    want = brute(classes, 0.6)
+def hashed(lists):
+    size = np.array([len(x) for x in lists], np.int64)
+    return setjoin.ragged(np.arange(len(size)), np.repeat(np.arange(len(size)), size), setjoin.mix(np.concatenate(lists).astype(np.int64).view(np.uint64)))
+
+
+def extract_h(b):
+    return hashed(list(b["h"]))
 
-    class Shared:
-        value = counts
 
-    packed = []
+def named(sets):
+    """The tokens of every class by its 64-bit name."""
+    sig = sets.signatures()[:, 1].view(np.int64)
+    return {int(n): set(sets.tokens[i:j].tolist()) for n, i, j in zip(sig, sets.start[:-1], sets.start[1:])}
 
-    class Records:
-        def mapInPandas(self, run, schema):
-            for out in run(iter([pdf])):
-                packed.extend(zip(out["part"], out["block"]))
 
-    setjoin.blocks(Records(), extract, Shared, 0.6, 3, 0)
-    import pickle
+class Value:
+    def __init__(self, value):
+        self.value = value
 
-    got = set()
-    for part in range(3):
-        found = [pickle.loads(b) for p, b in packed if p == part]
-        s, size, token, rec, pos, look = setjoin._merge(found, 0)
-        for a, b in setjoin.probe(size, token, rec, pos, 0.6):
-            ok = look.overlap(a, b) >= setjoin.needed(size[a], size[b], 0.6)
-            got |= {tuple(sorted((names[s[x].tobytes()], names[s[y].tobytes()]))) for x, y in zip(a[ok], b[ok])}
-    assert got == want and want
+
+def test_heavy_lists_are_split_by_exact_counts(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(f"k{i:03d}", ["hot", "warm", *rng.sample("abcdefghij", 3)]) for i in range(120)], "k string, v array<string>")
+    records = df.select("k", F.array_sort(F.transform("v", lambda x: F.xxhash64(x))).alias("h")).repartition(3)
+    sets = extract_h(records.toPandas())
+    classes = named(sets)
+    codes = setjoin.coded(np.bincount(setjoin.cells(sets.tokens, 1 << 16), minlength=1 << 16))
+    names, lengths = setjoin.heavy_lists(records, extract_h, Value(codes), 0.6, heavy=7)
+    assert len(names) and lengths.min() > 7
+    want = brute(classes, 0.6)
+    got = {tuple(r) for r in setjoin.class_pairs(records, extract_h, 0.6, codes, 400, heavy=7, per_part=50).collect()}
+    assert want and want <= got
+    checked = setjoin.verified(spark.createDataFrame(sorted(got), "a long, b long"), setjoin.sets_of(records, extract_h, np.full(512, 255, np.uint8)), 0.6)
+    assert {tuple(sorted((r.a_lo, r.b_lo))) for r in checked.collect()} == want
+
+
+def test_a_crowded_sketch_copies_nothing(spark):
+    """Counters that are far too high order tokens badly, but only truly long lists are split."""
+    rng = np.random.default_rng(3)
+    records = spark.createDataFrame([(i, rng.choice(3000, 40, replace=False).tolist()) for i in range(300)], "k long, h array<long>")
+    sets = extract_h(records.toPandas())
+    counts = np.bincount(setjoin.cells(sets.tokens, 1 << 16), minlength=1 << 16)
+    for factor in (1, 10_000):
+        codes = setjoin.coded(counts * factor)
+        assert not len(setjoin.heavy_lists(records, extract_h, Value(codes), 0.6)[0])
+    short, owner, name, pos, _ = setjoin._postings(sets, setjoin.coded(counts * 10_000), 0.6)
+    ids = sets.signatures()[:, 1][short.row]
+    assert len(setjoin.spread(owner, name, pos, ids, *setjoin.heavy_lists(records, extract_h, Value(codes), 0.6), setjoin.HEAVY)[0]) == len(owner)
+
+
+def test_large_sets_meet_in_virtual_sets(spark):
+    rng = np.random.default_rng(5)
+    lists = []
+    for base in (90, 127, 130, 300, 500, 515, 900, 2100):
+        own = rng.choice(100_000, base, replace=False)
+        for keep in (1.0, 0.95, 0.79, 0.62, 0.55):
+            lists.append(own[: int(base * keep)])
+            other = own.copy()
+            other[: int(base * (1 - keep) * 0.6)] = rng.integers(200_000, 900_000, int(base * (1 - keep) * 0.6))
+            lists.append(np.unique(other))
+    sets = hashed(lists)
+    assert setjoin.level_of(sets.size).max() == 3
+    parts, level = setjoin.virtual(sets, 0.6)
+    for at in (0, 1, 2, 3):  # at each level a set's virtual sets hold its tokens once
+        for k in np.unique(parts.row[level == at]):
+            mine = [parts.tokens[parts.start[v] : parts.start[v + 1]] for v in np.flatnonzero((parts.row == k) & (level == at))]
+            assert (np.sort(np.concatenate(mine)) == np.sort(sets.tokens[sets.start[k] : sets.start[k + 1]])).all()
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(lists)], "k long, h array<long>").repartition(4)
+    _, links = setjoin.similar_classes(df, "k", extract_h, F.size("h"), 0.6)
+    got = {tuple(sorted((r.a_lo, r.b_lo))) for r in links.collect()}
+    assert got == brute(named(sets), 0.6) and len(got) > 50
 
 
 def test_derived_overlaps():
