@@ -9,7 +9,7 @@ alike, so that copies never multiply work. The join has four steps.
 2. Sets of more than LARGE tokens are dealt into virtual sets by their tokens' hash: two sets that overlap by t overlap by
    t in one of these at least. So every set to be joined is short, and what travels with a token stays of fixed size.
 3. Each virtual set sends its prefix (the rarest tokens, of which two similar sets share at least one) to the partitions of
-   these tokens, packed into binary blocks of (class, size, parity bitmap) and (token, position). A partition sorts each
+   these tokens, packed into binary blocks of (class, size, parity bitmaps) and (token, position). A partition sorts each
    token's list by size bucket and position; a probe skips, by binary search in each bucket, all entries whose position
    already rules the required overlap out, and the bitmaps thin the rest. Tokens whose lists are truly longer than HEAVY
    (counted exactly) are split into pairs of blocks, so no list grows without bound.
@@ -35,7 +35,8 @@ MOST_BITS = 24
 HEAVY = 20_000
 PER_PART = 1_500_000
 LARGE = 128
-WORDS = 3
+#: Words of a bitmap, and the tokens from which it has as many again.
+WORDS, WIDE = 3, 136
 U = np.uint64
 
 
@@ -103,7 +104,7 @@ def first_of_each(sig: np.ndarray) -> np.ndarray:
 Extract = Callable[[pd.DataFrame], Sets]
 
 
-def bitmaps(sets: Sets, words: int) -> np.ndarray:
+def bitmaps(sets: Sets, words: int = WORDS) -> np.ndarray:
     """Parity bitmaps: bit h is the number of tokens hashed to h, modulo 2. Differing bits never exceed differing tokens."""
     bits = 64 * words
     at = sets.owner() * bits + (mix(sets.tokens) % U(bits)).astype(np.int64)
@@ -111,6 +112,35 @@ def bitmaps(sets: Sets, words: int) -> np.ndarray:
     return np.packbits(odd.reshape(len(sets.row), bits), axis=1).view(U)
 
 
+@dataclass
+class Marks:
+    """A bitmap for every set, and for those of more than WIDE tokens also the first half of one twice as long; its second
+    half is the difference of the two, as tokens of both halves fall on the same bit of the short one."""
+
+    short: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of(sets: Sets) -> "Marks":
+        return Marks.joined(bitmaps(sets), bitmaps(sets.take(np.flatnonzero(sets.size > WIDE)), 2 * WORDS)[:, :WORDS], sets.size)
+
+    @staticmethod
+    def joined(short: np.ndarray, first: np.ndarray, size: np.ndarray) -> "Marks":
+        at = np.full(len(size), -1, np.int64)
+        at[size > WIDE] = np.arange(len(first))
+        return Marks(short, first, at)
+
+    def differing(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether a[k] and b[k] may differ in at most most[k] tokens."""
+        apart = self.short[a] ^ self.short[b]
+        ok = np.bitwise_count(apart).sum(1, dtype=np.int64) <= most
+        k = np.flatnonzero(ok & (self.at[a] >= 0) & (self.at[b] >= 0))
+        half = self.first[self.at[a[k]]] ^ self.first[self.at[b[k]]]
+        ok[k] = (np.bitwise_count(half).sum(1, dtype=np.int64) + np.bitwise_count(half ^ apart[k]).sum(1, dtype=np.int64)) <= most[k]
+        return ok
+
+
 def needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """The least overlap of sets of sizes a and b at Jaccard t."""
     return np.ceil((a + b) * (t / (1 + t)) - 1e-9).astype(np.int64)
@@ -369,7 +399,7 @@ def unpack(raw: bytes) -> list[np.ndarray]:
 
 
 def blocks(records: DataFrame, extract: Extract, codes, heavy: tuple[np.ndarray, np.ndarray], t: float, parts: int, limit: int = HEAVY) -> DataFrame:
-    """Packed prefixes by partition: of each virtual set met there the class (64 bits of its name), size and bitmap, then the
+    """Packed prefixes by partition: of each virtual set met there the class (64 bits of its name), size and bitmaps, then the
     postings: list (32 bits; lists that coincide cost time only), set within the block, position."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -385,12 +415,13 @@ def blocks(records: DataFrame, extract: Extract, codes, heavy: tuple[np.ndarray,
             order = np.argsort(part, kind="stable")
             owner, name, pos, part = owner[order], (name[order] >> U(32)).astype(np.uint32), pos[order], part[order]
             ends = np.searchsorted(part, np.arange(parts + 1))
-            marks, size = bitmaps(short, WORDS), short.size
+            marks, size = Marks.of(short), short.size
             out = []
             for q in np.flatnonzero(np.diff(ends)).tolist():
                 s = slice(ends[q], ends[q + 1])
                 used, local = np.unique(owner[s], return_inverse=True)
-                out.append((q, pack([ids[used], fitting(size[used]), marks[used].ravel(), name[s], fitting(local), fitting(pos[s])])))
+                wide = marks.at[used]
+                out.append((q, pack([ids[used], fitting(size[used]), marks.short[used].ravel(), marks.first[wide[wide >= 0]].ravel(), name[s], fitting(local), fitting(pos[s])])))
             yield pd.DataFrame(out, columns=["part", "block"])
 
     return records.mapInPandas(run, "part int, block binary")
@@ -445,19 +476,19 @@ def probe(size: np.ndarray, token: np.ndarray, rec: np.ndarray, pos: np.ndarray,
         lo = hi
 
 
-def merge(found: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(class, size, bitmap) of the sets of all blocks, and (list, set, position) of the postings, each once."""
+def merge(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, Marks, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, size, bitmaps) of the sets of all blocks, and (list, set, position) of the postings, each once."""
     got = [unpack(x) for x in found]
-    ids, size, marks, token = (np.concatenate([g[k] for g in got]) for k in range(4))
+    ids, size, short, first, token = (np.concatenate([g[k] for g in got]) for k in range(5))
     base = np.cumsum([0, *(len(g[0]) for g in got)])
-    rec = np.concatenate([g[4].astype(np.int64) + o for g, o in zip(got, base)])
-    pos = np.concatenate([g[5].astype(np.int64) for g in got])
+    rec = np.concatenate([g[5].astype(np.int64) + o for g, o in zip(got, base)])
+    pos = np.concatenate([g[6].astype(np.int64) for g in got])
     # copies of a class send the same postings from several batches
     order = np.lexsort((ids[rec], token))
     token, rec, pos = token[order], rec[order], pos[order]
     once = np.ones(len(token), bool)
     once[1:] = (token[1:] != token[:-1]) | (ids[rec[1:]] != ids[rec[:-1]])
-    return ids, size.astype(np.int64), marks.reshape(len(ids), WORDS), token[once], rec[once], pos[once]
+    return ids, size.astype(np.int64), Marks.joined(short.reshape(-1, WORDS), first.reshape(-1, WORDS), size), token[once], rec[once], pos[once]
 
 
 def thinned(found: list[bytes], t: float) -> np.ndarray:
@@ -469,7 +500,7 @@ def thinned(found: list[bytes], t: float) -> np.ndarray:
         code = np.unique(a * n + b)
         a, b = code // n, code % n
         most = size[a] + size[b] - 2 * needed(size[a], size[b], t)
-        ok = (np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64) <= most) & (ids[a] != ids[b])
+        ok = marks.differing(a, b, most) & (ids[a] != ids[b])
         pair = np.sort(np.stack([ids[a[ok]], ids[b[ok]]], 1).view(np.int64), axis=1)
         seen.append(pair)
     return np.unique(np.concatenate(seen), axis=0)
