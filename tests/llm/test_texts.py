@@ -142,6 +142,24 @@ def test_boosting_learns():
     assert (np.diff(v) > 0).all() and np.interp(2.5, k, v) == 2.5
 
 
+def test_features_by_hand(monkeypatch):
+    texts = ["The cat sat; the cat ran.\nA dog! 12", "", "???", "One, (two). One two."]
+    lex = reading.Lexicon({"cat": 0, "the": 1}, np.array([[2.0, 0, 0, 0, 0, 1, 0, 0, 0, 0], [8, 4, 0, 0, 0, 2, 1, 0, 0, 0]]), np.array([1 * 3 + 0]), np.array([[5.0, 0, 0, 0, 0, 1, 0, 0, 0, 0]]))
+    p = reading.Parsed(texts)
+    assert p.counts(p.doc).tolist() == [8, 0, 0, 4] and p.counts(p.sent_doc).tolist() == [3, 0, 0, 2]
+    word, pair = lex.places(p)
+    w, q = lex.grades((), 3.0)
+    assert np.allclose(w[:2], [(2 + 6) / 3, (12 + 6) / 5]) and (pair == 0).sum() == 2
+    assert np.allclose(lex.grades((0,), 3.0)[0][1], (4 + 6) / 3) and np.isnan(lex.grades((0,), 3.0)[0][0])
+    x = lex.features(texts, [(w, q)], 3.0)[0]
+    assert x.shape == (4, reading.N_FEATURES) and np.isfinite(x).all()
+    assert np.allclose(x[0, 3], 8 / 3) and np.allclose(x[3, 3], 2) and x[1, 3] == 0
+    each = [lex.features([t], [(w, q)], 3.0)[0][0] for t in texts]
+    assert np.allclose(x, each)  # a text's features don't depend on its neighbours
+    monkeypatch.setattr(reading, "SLICE_CHARS", 10)
+    assert np.allclose(x, lex.features(texts, [(w, q)], 3.0)[0])
+
+
 def test_reading_levels(spark):
     easy, hard = ["The cat sat here.", "We see the big dog.", "It is red."], ["Notwithstanding heteroscedasticity, the asymptotic normality obtains.", "Quasiconvex likelihoods presuppose measurability, ostensibly.", "Ergodicity vindicates the heuristic identification."]
     rng = random.Random(5)
@@ -152,7 +170,8 @@ def test_reading_levels(spark):
     docs = spark.createDataFrame([(i, t, s, 0.0) for i, t, s, _ in rows] + [(900, None, "s1", 0.0), (901, " \n", "s1", 0.0), (902, "", None, 0.0), (903, "123 456", None, 0.0), (904, "cat " * 50_000, "s2", 0.0), (0, rows[0][1], "s0", 0.0)], "doc_id long, text string, source string, score double")
     labels = spark.createDataFrame([(i, r, y) for i, _, _, y in rows if i < 160 for r in ("r1", "r2")] + [(900, "r1", 2), (3, "r3", None), (5000, "r1", 4)], "doc_id long, rater string, reading_level int")
     model = reading.train(docs, labels, "doc_id", "text", "source", "reading_level")
-    assert model.report["demanding_right"].mean() > 0.9 and model.report["texts"].sum() == 160
+    report = reading.validate(docs, labels, "doc_id", "text", "source", "reading_level")
+    assert report["demanding_right"].mean() > 0.9 and report["texts"].sum() == 160
     got = {r.doc_id: r.level for r in reading.levels(docs, "doc_id", "text", model).collect()}
     assert [got[k] for k in (900, 901, 902)] == [None] * 3 and got[903] is not None and got[904] is not None
     assert sum((got[i] >= 4) == (y >= 4) for i, _, _, y in rows if i >= 160) >= 76
