@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.boosting import Trees, isotonic
-from loomgraph.llm.setjoin import mix
+from loomgraph.llm.setjoin import distinct, mix
 
 FOLDS = 5
 #: Words, and the marks at which a sentence ends.
@@ -88,7 +88,7 @@ class Parsed:
         syl = np.bincount(own_doc, weights=syllables, minlength=docs) / kinds
         syl2 = np.bincount(own_doc, weights=syllables**2, minlength=docs) / kinds
         # what neighbouring sentences share
-        has = np.unique(self.sent * wide + self.code)
+        has = distinct(self.sent * wide + self.code)
         of = has // wide
         size = np.bincount(of, minlength=len(self.sent_doc))
         at = np.minimum(np.searchsorted(has, has + wide), max(len(has) - 1, 0))
