@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector: stable projections, kd-tree cells and a chi-square stopping test."""
+"""Most similar vectors for every vector: cells around centres, visited until a chi-square stopping test holds."""
 
 from __future__ import annotations
 
@@ -16,80 +16,31 @@ from loomgraph.llm import setjoin as J
 U = np.uint64
 #: Between candidates in a packed list.
 END = "\x00"
+#: Vectors that a task gathers before it sends them to their cells.
+GATHER = 100_000
 
 
-def projection(dim: int, m: int, seed: int) -> np.ndarray:
-    """m Gaussian (2-stable) directions: the projected squared distance over the true one is chi-square with m degrees."""
-    return np.random.default_rng(seed).normal(size=(dim, m)).astype(np.float32)
-
-
-def chi_square_quantile(p: float, m: int) -> float:
-    """By bisection of the regularized lower incomplete gamma series."""
-
-    def cdf(x: float) -> float:
-        a, h = m / 2, x / 2
-        term = total = math.exp(a * math.log(h) - h - math.lgamma(a + 1)) if h > 0 else 0.0
-        k = 1
-        while term > 1e-17 * max(total, 1e-300) and k < 10_000:
-            term *= h / (a + k)
-            total += term
-            k += 1
-        return total
-
-    lo, hi = 0.0, 10.0 * m + 100
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
-    return hi
-
-
-def fit_planes(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The top of a kd-tree as a heap: the axis and the place of each split (widest axis, median)."""
-    axis, place = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1, np.float32)
-    todo = [(0, np.arange(len(sample)))]
-    while todo:
-        node, rows = todo.pop()
-        if node >= len(axis):
-            continue
-        if len(rows):
-            axis[node] = np.argmax(sample[rows].var(0))
-            place[node] = np.median(sample[rows, axis[node]])
-        left = sample[rows, axis[node]] <= place[node]
-        todo += [(2 * node + 1, rows[left]), (2 * node + 2, rows[~left])]
-    return axis, place
-
-
-def route(points: np.ndarray, axis: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The cell of every point."""
-    node = np.zeros(len(points), np.int64)
-    while len(axis) and node[0] < len(axis) if len(node) else False:
-        right = points[np.arange(len(points)), axis[node]] > place[node]
-        node = 2 * node + 1 + right
-    return node - len(axis)
-
-
-def cell_boxes(axis: np.ndarray, place: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the cells, infinite where no plane bounds them."""
-    n = len(axis) + 1
-    lo, hi = np.full((2 * n - 1, m), -np.inf, np.float32), np.full((2 * n - 1, m), np.inf, np.float32)
-    for node in range(len(axis)):
-        for child in (2 * node + 1, 2 * node + 2):
-            lo[child], hi[child] = lo[node], hi[node]
-        hi[2 * node + 1, axis[node]] = place[node]
-        lo[2 * node + 2, axis[node]] = place[node]
-    return lo[n - 1 :], hi[n - 1 :]
-
-
-def box_distance(points: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Squared distances of points to boxes, (points, boxes)."""
-    out = np.zeros((len(points), len(lo)), np.float32)
-    for j in range(points.shape[1]):
-        x = points[:, j : j + 1]
-        out += np.maximum(np.maximum(lo[:, j] - x, x - hi[:, j]), 0) ** 2
-    return out
-
-
-def centres_of(x: np.ndarray, k: int, sample: int = 20_000, rounds: int = 4) -> np.ndarray:
+def freedom(x: np.ndarray) -> float:
+    """The effective number of dimensions in which unit vectors spread: (sum of variances)^2 / sum of squared ones."""
+    if len(x) < 2:
+        return 1.0
+    own = np.maximum(np.linalg.eigvalsh(np.cov(np.unique(x, axis=0).T.astype(np.float64))), 0) if len(np.unique(x, axis=0)) > 1 else np.ones(1)
+    return max(1.0, float(own.sum() ** 2 / max((own**2).sum(), 1e-300)))
+
+
+def open_cells(near: np.ndarray, rho: np.ndarray, bound: np.ndarray, d: float, z: float) -> np.ndarray:
+    """(queries, cells): whether the stopping test leaves a cell open.
+
+    near: the queries' cosine s with the cells' centres; rho: the members' cosine r with their centre; bound: the cosine to
+    be beaten. A member's cosine with the query is s r plus sqrt(1 - s^2) sqrt(1 - r^2) u, u being the projection of one
+    random direction on another, of variance 1/d. So d times the squared gap over (1 - s^2)(1 - r^2) is chi-square with one
+    degree of freedom, and a cell is closed where that exceeds the quantile z^2.
+    """
+    gap = np.maximum(bound[:, None] - near * rho[None], 0)
+    return gap * gap * d <= z * z * np.maximum((1 - near * near) * (1 - rho * rho)[None], 1e-9)
+
+
+def centres_of(x: np.ndarray, k: int, sample: int = 20_000, rounds: int = 6) -> np.ndarray:
     """k unit centres of the vectors by spherical k-means on at most ``sample`` of them; the same on every run."""
     rng = np.random.default_rng(11)
     some = x[rng.choice(len(x), sample, replace=False)] if len(x) > sample else x
@@ -104,53 +55,62 @@ def centres_of(x: np.ndarray, k: int, sample: int = 20_000, rounds: int = 4) ->
 
 
 class Block:
-    """Indexed vectors of one part: unit vectors in cells around centres, with the boxes of their projections."""
+    """Unit vectors of one part in cells around centres; rho: the cosine with its centre that most of a cell's members don't exceed."""
 
-    def __init__(self, vectors: np.ndarray, a: np.ndarray, leaf: int):
-        self.centres = centres_of(vectors, max(1, len(vectors) // leaf))
+    def __init__(self, vectors: np.ndarray, leaf: int):
+        self.centres = centres_of(vectors, max(1, len(vectors) // leaf), rounds=4)
         cell = np.concatenate([np.argmax(vectors[s : s + 8192] @ self.centres.T, 1) for s in range(0, len(vectors), 8192)])
         self.order = np.argsort(cell, kind="stable")
         own, starts = np.unique(cell[self.order], return_index=True)
         self.centres = self.centres[own]
         self.ends = np.append(starts, len(vectors))
         self.vectors = np.ascontiguousarray(vectors[self.order])
-        self.points = self.vectors @ a
-        self.lo, self.hi = np.minimum.reduceat(self.points, starts, axis=0), np.maximum.reduceat(self.points, starts, axis=0)
+        to = (self.vectors * np.repeat(self.centres, np.diff(self.ends), axis=0)).sum(1)
+        self.rho = np.array([np.quantile(to[i:j], 0.95) for i, j in zip(self.ends, self.ends[1:])], np.float32)
+
+    def packed(self, smallest: list) -> bytes:
+        return pickle.dumps((smallest, self.vectors.astype(np.float16), self.centres, self.ends, self.rho), 5)
 
-    def search(self, q: np.ndarray, qp: np.ndarray, best: np.ndarray, at: np.ndarray, c: float, share: float, least: int) -> int:
+    @staticmethod
+    def unpacked(raw: bytes) -> tuple[list, "Block"]:
+        self = Block.__new__(Block)
+        smallest, vectors, self.centres, self.ends, self.rho = pickle.loads(raw)
+        self.vectors = vectors.astype(np.float32)
+        return smallest, self
+
+    def search(self, q: np.ndarray, best: np.ndarray, at: np.ndarray, d: float, z: float, first: int = 2) -> int:
         """Improves the k best similarities and places of each query, in place; gives the number of similarities computed.
 
-        A query's budget are the cells of the nearest centres: ``share`` of all, but at least ``least``. Of these it
-        leaves out a cell when the stopping test holds: the cell's projected distance exceeds what, at the given
-        confidence, a vector nearer than the query's k-th best could have (c times its squared distance).
+        Queries without a bound visit their ``first`` nearest cells; then all visit the cells that the stopping test leaves open.
         """
-        k, done, cells = best.shape[1], 0, len(self.centres)
         near = q @ self.centres.T
-        budget = min(cells, max(least, math.ceil(share * cells)))
-        edge = np.partition(near, cells - budget, axis=1)[:, cells - budget]
-        open_ = np.ascontiguousarray((near >= edge[:, None]).T)
-        far = np.ascontiguousarray(box_distance(qp, self.lo, self.hi).T)
-        bound = best[:, -1].copy()
-        reach = c * np.maximum(2 - 2 * bound, 1e-6)
+        done, cells = 0, near.shape[1]
+        seen = np.zeros(near.shape, bool)
+        new = np.flatnonzero(best[:, -1] <= -2)
+        if len(new):
+            edge = np.partition(near[new], cells - min(first, cells), axis=1)[:, cells - min(first, cells)]
+            seen[new] = near[new] >= edge[:, None]
+            done += self._visit(q, seen, best, at)
+        return done + self._visit(q, open_cells(near, self.rho, best[:, -1], d, z) & ~seen, best, at)
+
+    def _visit(self, q: np.ndarray, go: np.ndarray, best: np.ndarray, at: np.ndarray) -> int:
+        done, bound = 0, best[:, -1].copy()
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for cell in np.argsort(-near.mean(0)):
-            go = np.flatnonzero(open_[cell] & (far[cell] <= reach))
-            if not len(go):
-                continue
+        for cell in np.flatnonzero(go.any(0)):
+            rows = np.flatnonzero(go[:, cell])
             begin, end = self.ends[cell], self.ends[cell + 1]
-            sims = (q if len(go) == len(q) else q[go]) @ self.vectors[begin:end].T
+            sims = q[rows] @ self.vectors[begin:end].T
             done += sims.size
-            hit = np.flatnonzero(sims > bound[go][:, None])
+            hit = np.flatnonzero(sims > bound[rows][:, None])
             if not len(hit):
                 continue
             row = hit // sims.shape[1]
-            kept.append((go[row], hit - row * sims.shape[1] + begin, sims.ravel()[hit]))
-            if len(hit) > 4 * len(go):
+            kept.append((rows[row], hit - row * sims.shape[1] + begin, sims.ravel()[hit]))
+            if sum(len(k[0]) for k in kept) > 8 * len(q):
                 # many are better: tighten the bounds before going on
                 _keep_best(kept, best, at)
                 kept.clear()
                 bound = best[:, -1].copy()
-                reach = c * np.maximum(2 - 2 * bound, 1e-6)
         _keep_best(kept, best, at)
         return done
 
@@ -202,18 +162,23 @@ def usable(vector: Column, dim: int) -> Column:
     return (F.size(vector) == dim) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v))
 
 
-def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, m: int = 6, confidence: float = 0.9, leaf: int = 256, share: float = 0.15, least_cells: int = 24, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(
+    items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, cell: int = 4096, probes: int = 10, leaf: int = 64, inner: float = 4.5, outer: float = 5.0,
+    sample_rows: int = 200_000, most_cells: int = 16_384, seed: int = 7, exact: bool = False,
+) -> DataFrame:
     """The k other items of highest cosine for every item, on equal cosines those with the smaller key.
 
-    1. A kd-tree's upper planes are fitted to the projections of at most ``sample_rows`` vectors (all vectors are
-       indexed). They route each vector to one of about sqrt(n) parts; copies of a vector are merged, keeping their
-       k + 1 smallest keys, so that a group of copies is one vector wherever it is searched.
-    2. A part answers its own vectors, cell by cell. With the distance to the k-th best as bound, a vector then goes to
-       every other part that passes the chi-square test at ``confidence``. Within a part it has a budget of cells, those of the
-       nearest centres (``share`` of them, but at least ``least_cells``), and leaves out those that fail the test.
-    3. Only candidates better than the bound leave a part; they are merged per vector.
-    Cells keep about ``leaf`` vectors; parts grow with the root of n, and each is searched by several tasks, to which its queries
-    stream in blocks.
+    1. About n / ``cell`` centres (at most ``most_cells``, beyond that cells grow) are fitted to at most ``sample_rows`` vectors.
+       Every vector is stored once, in the cell of its nearest centre; copies of a vector are merged, keeping their k + 1
+       smallest keys, so a group of copies is one vector wherever it is searched.
+    2. A cell is indexed once, in leaves of about ``leaf`` vectors. It answers its own vectors, leaf by leaf, until the
+       stopping test (``open_cells``, quantile ``inner``) holds. With the cosine of its k-th best as bound, a vector then goes
+       to the other cells that the test leaves open at ``outer``, at most to the ``probes`` nearest, and is searched there
+       in the same way, against the same index.
+    3. Only candidates better than the bound come back; they are merged per vector.
+    What travels with a vector is bounded by ``probes``, what a task holds by the size of a cell. Vectors travel in half
+    precision, so cosines from other cells are right to 0.0003. With ``exact`` no test is made and each vector goes to all
+    cells: exact up to that rounding, with n^2 work.
 
     Defined cases: vectors that are null, of another length, hold a null, NaN or infinite value, or are all zero take no
     part, nor do rows whose key is null or holds U+0000; an item with fewer than k others has all of them; repeated rows count once; a key with several vectors takes
@@ -223,32 +188,48 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
     rows = items.select(F.col(key).cast("string").alias("k"), F.col(vector).alias("v"))
     rows = rows.where(usable(F.col("v"), dim) & F.col("k").isNotNull() & ~F.contains("k", F.lit(END)))
     n = rows.count()
-    parts = max(1, math.ceil(math.sqrt(n / 12_000)))
-    blocks = -(-parts // 2)
-    a, c, top = projection(dim, m, seed), chi_square_quantile(confidence, m), k + 1
-    depth = min(12, max(0, math.ceil(math.log2(16 * parts)) if parts > 1 else 0))
-    sample = np.zeros((0, m), np.float32)
-    if depth:
-        picked = rows.select("v").sample(min(1.0, sample_rows / n), seed=seed).limit(sample_rows).toPandas()["v"]
-        sample = (_unit(list(picked), dim)[1]).astype(np.float32) @ a
-    axis, place = fit_planes(sample, depth) if len(sample) else (np.zeros(0, np.int64), np.zeros(0, np.float32))
-    weight = np.bincount(route(sample, axis, place), minlength=len(axis) + 1) if len(sample) else np.ones(1)
-    # neighbouring cells form a part; the parts hold about equally many of the sample
-    part_of = np.minimum((np.cumsum(weight) - weight / 2) * parts / max(weight.sum(), 1), parts - 1).astype(np.int64)
-    lo, hi = cell_boxes(axis, place, m)
+    parts, top = max(1, min(most_cells, math.ceil(n / cell))), k + 1
+    if exact:
+        inner, outer, probes = math.inf, math.inf, parts
+    centres, rho, d = np.zeros((1, dim), np.float32), np.zeros(1, np.float32), 1.0
+    if n:
+        wanted = min(sample_rows, max(20_000, 32 * parts))
+        picked = rows.select("v").sample(min(1.0, 1.2 * wanted / n), seed=seed).limit(wanted).toPandas()["v"]
+        sample = _unit(list(picked), dim)[1].astype(np.float32)
+        d = freedom(sample)
+        if parts > 1 and len(sample):
+            centres = centres_of(sample, parts, sample=wanted)
+            near = sample @ centres.T
+            home_of = near.argmax(1)
+            rho = (np.bincount(home_of, near.max(1), len(centres)) / np.maximum(np.bincount(home_of, minlength=len(centres)), 1)).astype(np.float32)
+    parts = len(centres)
+
+    def cells_of(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.argmax(x[s : s + 8192] @ centres.T, 1) for s in range(0, len(x), 8192)])
+
+    def sent(keys: list, x: np.ndarray) -> pd.DataFrame:
+        names, x = merged([[w] for w in keys], x, top)
+        part = cells_of(x)
+        order = np.argsort(part, kind="stable")
+        own, starts = np.unique(part[order], return_index=True)
+        out = []
+        for p, mine in zip(own.tolist(), np.split(order, starts[1:])):
+            out.append((p, pickle.dumps(([names[i] for i in mine], x[mine]), 5)))
+        return pd.DataFrame(out, columns=["part", "block"])
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, held, size = [], [], 0
         for b in batches:
             at, x = _unit(list(b["v"]), dim)
-            if not len(at):
-                continue
-            keys, x = merged([[w] for w in b["k"].to_numpy()[at]], x.astype(np.float32), top)
-            part = part_of[route(x @ a, axis, place)]
-            out = []
-            for p in np.unique(part):
-                mine = np.flatnonzero(part == p)
-                out.append((int(p), pickle.dumps(([keys[i] for i in mine], x[mine]), 5)))
-            yield pd.DataFrame(out, columns=["part", "block"])
+            if len(at):
+                keys += b["k"].to_numpy()[at].tolist()
+                held.append(x.astype(np.float32))
+                size += len(at)
+            if size >= GATHER:
+                yield sent(keys, np.concatenate(held))
+                keys, held, size = [], [], 0
+        if size:
+            yield sent(keys, np.concatenate(held))
 
     def belong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -257,41 +238,46 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
             yield pd.DataFrame({"k": b["k"].to_numpy()[at], "hi": s[:, 0], "lo": s[:, 1]})
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [(p, pickle.loads(x)) for b in batches for p, x in zip(b["part"], b["block"])]
-        if not found:
-            return
-        part = int(found[0][0])
-        keys, x = merged([w for _, (ks, _) in found for w in ks], np.concatenate([v for _, (_, v) in found]), top)
-        index = Block(x, a, leaf)
-        smallest = [keys[g] for g in index.order]
-        v, points, size = index.vectors, index.points, len(x)
-        sig = signatures(v)
-        best, at = np.full((size, top), -2.0, np.float32), np.zeros((size, top), np.int64)
-        for s in range(0, size, 1024):
-            e = slice(s, s + 1024)
-            index.search(v[e], points[e], best[e], at[e], c, share, least_cells)
-        own = packed(best, at, smallest)
-        if parts == 1:
-            yield rows_of(sig, own)
-            return
-        kth = best[:, -1]
-        out = []
-        for s in range(0, size, 4096):
-            e = slice(s, s + 4096)
-            out += [(part * blocks + j, 0, pickle.dumps((smallest[e], v[e]), 5)) for j in range(blocks)]
-            out.append((part * blocks + (s // 4096) % blocks, 2, pickle.dumps((sig[e], own[e]), 5)))
-        far = box_distance(points, lo, hi)
-        for p in range(parts):
-            if p == part or not (part_of == p).any():
+        found: dict[int, list] = {}
+        for b in batches:
+            for p, raw in zip(b["part"], b["block"]):
+                found.setdefault(int(p), []).append(pickle.loads(raw))
+        for part in list(found):
+            blocks = found.pop(part)
+            keys, x = merged([w for ks, _ in blocks for w in ks], np.concatenate([v for _, v in blocks]), top)
+            index = Block(x, leaf)
+            smallest = [keys[g] for g in index.order]
+            v, sig = index.vectors, signatures(index.vectors)
+            best, at = np.full((len(v), top), -2.0, np.float32), np.zeros((len(v), top), np.int64)
+            for s in range(0, len(v), 1024):
+                e = slice(s, s + 1024)
+                index.search(v[e], best[e], at[e], d, inner)
+            own = packed(best, at, smallest)
+            if parts == 1:
+                yield rows_of(sig, own)
                 continue
-            go = np.flatnonzero(far[:, part_of == p].min(1) <= c * np.maximum(2 - 2 * kth, 1e-6))
-            for j, several in enumerate(np.array_split(go, blocks)):
-                for s in range(0, len(several), 2048):
-                    r = several[s : s + 2048]
-                    out.append((p * blocks + (j + part) % blocks, 1, pickle.dumps((sig[r], v[r], kth[r]), 5)))
-        for s in range(0, len(out), 64):
-            t, kind, piece = zip(*out[s : s + 64])
-            yield pd.DataFrame({"task": t, "kind": kind, "block": piece, "hi": 0, "lo": 0, "found": None})
+            out = [(part, 0, index.packed(smallest))]
+            target: dict[int, list[np.ndarray]] = {}
+            for s in range(0, len(v), 1024):
+                e = slice(s, s + 1024)
+                out.append((part, 2, pickle.dumps((sig[e], own[e]), 5)))
+                near = v[e] @ centres.T
+                go = open_cells(near, rho, best[e, -1], d, outer)
+                go[:, part] = False
+                near[~go] = -9
+                most = min(probes, parts)
+                edge = np.partition(near, parts - most, axis=1)[:, parts - most]
+                q, p = np.nonzero(go & (near >= edge[:, None]))
+                order = np.argsort(p, kind="stable")
+                to, starts = np.unique(p[order], return_index=True)
+                for t, r in zip(to.tolist(), np.split(q[order] + s, starts[1:])):
+                    target.setdefault(t, []).append(r)
+            for t, r in target.items():
+                r = np.concatenate(r)
+                out += [(t, 1, pickle.dumps((sig[r[i : i + 2048]], v[r[i : i + 2048]].astype(np.float16), best[r[i : i + 2048], -1]), 5)) for i in range(0, len(r), 2048)]
+            for s in range(0, len(out), 64):
+                t, kind, piece = zip(*out[s : s + 64])
+                yield pd.DataFrame({"task": t, "kind": kind, "block": piece, "hi": 0, "lo": 0, "found": None})
 
     def packed(best: np.ndarray, at: np.ndarray, smallest: list) -> list[str]:
         """Each vector's candidates in one string: the angle's place in six digits and the key, so that the best sorts first."""
@@ -302,24 +288,18 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
         return pd.DataFrame({"task": -1, "kind": 3, "block": None, "hi": sig[:, 0], "lo": sig[:, 1], "found": found})
 
     def abroad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data, index = [], None
-        smallest: list = []
+        part, index, smallest = -1, None, []
         for b in batches:
-            for kind, raw in zip(b["kind"], b["block"]):
-                got = pickle.loads(raw)
+            for p, kind, raw in zip(b["task"], b["kind"], b["block"]):
                 if kind == 0:
-                    data.append(got)
+                    part = p
+                    smallest, index = Block.unpacked(raw)
                 elif kind == 2:
-                    yield rows_of(*got)
-                else:
-                    if index is None:
-                        index = Block(np.concatenate([v for _, v in data]), a, leaf)
-                        every = [w for ks, _ in data for w in ks]
-                        smallest = [every[g] for g in index.order]
-                        data.clear()
-                    sig, q, kth = got
+                    yield rows_of(*pickle.loads(raw))
+                elif part == p:  # a cell without vectors has no index
+                    sig, q, kth = pickle.loads(raw)
                     best, at = np.repeat(kth[:, None], top, 1), np.full((len(q), top), -1, np.int64)
-                    index.search(q, q @ a, best, at, c, share, least_cells)
+                    index.search(q.astype(np.float32), best, at, d, inner)
                     hit = np.flatnonzero((at >= 0).any(1))
                     if len(hit):
                         yield rows_of(sig[hit], packed(best[hit], at[hit], smallest))
@@ -327,7 +307,7 @@ def nearest(items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64,
     schema = "task int, kind int, block binary, hi long, lo long, found string"
     answers = rows.mapInPandas(send, "part int, block binary").repartitionById(parts, "part").mapInPandas(home, schema)
     if parts > 1:
-        answers = answers.repartitionById(parts * blocks, "task").sortWithinPartitions("kind").mapInPandas(abroad, schema)
+        answers = answers.repartitionById(parts, "task").sortWithinPartitions("task", "kind").mapInPandas(abroad, schema)
     every = F.split(F.concat_ws(END, F.collect_list("found")), END)
     lists = answers.groupBy("hi", "lo").agg(F.slice(F.array_sort(every), 1, top).alias("found"))
     members = rows.mapInPandas(belong, "k string, hi long, lo long").groupBy("k").agg(F.min(F.struct("hi", "lo")).alias("c")).select("k", "c.hi", "c.lo")

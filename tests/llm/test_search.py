@@ -50,6 +50,35 @@ def test_recall_against_brute_force(spark, n):
     assert hits / 1000 >= 0.95
 
 
+def test_every_cell_is_exact(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 8))
+    ids = np.array([f"v{i:04d}" for i in range(700)])
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "v": [v.tolist() for v in x]}), "id string, v array<double>")
+    got = {}
+    for r in neighbours.nearest(df, "id", "v", k=5, dim=8, cell=60, leaf=16, exact=True).collect():
+        got.setdefault(r.id, set()).add(r.neighbour_id)
+    want = exact(x, ids, 6)
+    wrong = [i for i in ids if got[i] != set(want[i][:5])]
+    assert len(wrong) <= 3 and all(got[i] <= set(want[i]) for i in wrong)  # half precision between cells
+
+
+def test_the_stopping_test_keeps_what_it_promises():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = neighbours.freedom(x)
+    assert 30 < d <= 32
+    index = neighbours.Block(x, 64)
+    best, at = np.full((100, 6), -2.0, np.float32), np.zeros((100, 6), np.int64)
+    done = index.search(index.vectors[:100], best, at, d, 4.0)
+    true = np.sort(index.vectors[:100] @ index.vectors.T, 1)[:, ::-1][:, :6]
+    assert np.isclose(best, true, atol=1e-5).mean() > 0.97 and done < 0.9 * 100 * 4000
+    best[:] = -2
+    index.search(index.vectors[:100], best, at, d, np.inf)
+    assert np.allclose(best, true, atol=1e-5)
+
+
 def test_damaged_and_repeated_vectors(spark):
     good = {f"a{i}": [1.0, float(i)] for i in range(4)}
     copies = {f"c{i:02d}": [2.0, 2.0] for i in range(30)}
