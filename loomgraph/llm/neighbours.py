@@ -163,7 +163,7 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 def nearest(
-    items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, cell: int = 4096, probes: int = 10, leaf: int = 64, inner: float = 4.5, outer: float = 5.0,
+    items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, cell: int = 4096, probes: int = 8, leaf: int = 64, inner: float = 4.5, outer: float = 5.0,
     sample_rows: int = 200_000, most_cells: int = 16_384, seed: int = 7, exact: bool = False,
 ) -> DataFrame:
     """The k other items of highest cosine for every item, on equal cosines those with the smaller key.
