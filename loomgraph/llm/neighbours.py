@@ -54,6 +54,26 @@ def centres_of(x: np.ndarray, k: int, sample: int = 20_000, rounds: int = 6) ->
     return centres
 
 
+class Back:
+    """The other direction: what a cell's vectors gain from the queries that visit it."""
+
+    def __init__(self, kth: np.ndarray, top: int):
+        self.best, self.at = np.repeat(kth[:, None], top, 1), np.full((len(kth), top), -1, np.int64)
+        self.bound, self.first = kth, 0
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, begin: int, rows: np.ndarray, sims: np.ndarray) -> None:
+        hit = np.flatnonzero(sims > self.bound[None, begin : begin + sims.shape[1]])
+        if len(hit):
+            row = hit // sims.shape[1]
+            self.kept.append((hit - row * sims.shape[1] + begin, rows[row] + self.first, sims.ravel()[hit]))
+
+    def settle(self) -> None:
+        _keep_best(self.kept, self.best, self.at)
+        self.kept.clear()
+        self.bound = self.best[:, -1]
+
+
 class Block:
     """Unit vectors of one part in cells around centres; rho: the cosine with its centre that most of a cell's members don't exceed."""
 
@@ -68,17 +88,17 @@ class Block:
         to = (self.vectors * np.repeat(self.centres, np.diff(self.ends), axis=0)).sum(1)
         self.rho = np.array([np.quantile(to[i:j], 0.95) for i, j in zip(self.ends, self.ends[1:])], np.float32)
 
-    def packed(self, smallest: list) -> bytes:
-        return pickle.dumps((smallest, self.vectors.astype(np.float16), self.centres, self.ends, self.rho), 5)
+    def packed(self, *besides) -> bytes:
+        return pickle.dumps((self.vectors.astype(np.float16), self.centres, self.ends, self.rho, besides), 5)
 
     @staticmethod
-    def unpacked(raw: bytes) -> tuple[list, "Block"]:
+    def unpacked(raw: bytes) -> tuple["Block", tuple]:
         self = Block.__new__(Block)
-        smallest, vectors, self.centres, self.ends, self.rho = pickle.loads(raw)
+        vectors, self.centres, self.ends, self.rho, besides = pickle.loads(raw)
         self.vectors = vectors.astype(np.float32)
-        return smallest, self
+        return self, besides
 
-    def search(self, q: np.ndarray, best: np.ndarray, at: np.ndarray, d: float, z: float, first: int = 2) -> int:
+    def search(self, q: np.ndarray, best: np.ndarray, at: np.ndarray, d: float, z: float, first: int = 2, back: Back | None = None) -> int:
         """Improves the k best similarities and places of each query, in place; gives the number of similarities computed.
 
         Queries without a bound visit their ``first`` nearest cells; then all visit the cells that the stopping test leaves open.
@@ -90,10 +110,10 @@ class Block:
         if len(new):
             edge = np.partition(near[new], cells - min(first, cells), axis=1)[:, cells - min(first, cells)]
             seen[new] = near[new] >= edge[:, None]
-            done += self._visit(q, seen, best, at)
-        return done + self._visit(q, open_cells(near, self.rho, best[:, -1], d, z) & ~seen, best, at)
+            done += self._visit(q, seen, best, at, back)
+        return done + self._visit(q, open_cells(near, self.rho, best[:, -1], d, z) & ~seen, best, at, back)
 
-    def _visit(self, q: np.ndarray, go: np.ndarray, best: np.ndarray, at: np.ndarray) -> int:
+    def _visit(self, q: np.ndarray, go: np.ndarray, best: np.ndarray, at: np.ndarray, back: Back | None) -> int:
         done, bound = 0, best[:, -1].copy()
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for cell in np.flatnonzero(go.any(0)):
@@ -101,6 +121,8 @@ class Block:
             begin, end = self.ends[cell], self.ends[cell + 1]
             sims = q[rows] @ self.vectors[begin:end].T
             done += sims.size
+            if back:
+                back.add(begin, rows, sims)
             hit = np.flatnonzero(sims > bound[rows][:, None])
             if not len(hit):
                 continue
@@ -163,7 +185,7 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 def nearest(
-    items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, cell: int = 4096, probes: int = 8, leaf: int = 64, inner: float = 4.5, outer: float = 5.0,
+    items: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, cell: int = 8192, probes: int = 8, leaf: int = 64, inner: float = 4.5, outer: float = 5.0,
     sample_rows: int = 200_000, most_cells: int = 16_384, seed: int = 7, exact: bool = False,
 ) -> DataFrame:
     """The k other items of highest cosine for every item, on equal cosines those with the smaller key.
@@ -174,7 +196,8 @@ def nearest(
     2. A cell is indexed once, in leaves of about ``leaf`` vectors. It answers its own vectors, leaf by leaf, until the
        stopping test (``open_cells``, quantile ``inner``) holds. With the cosine of its k-th best as bound, a vector then goes
        to the other cells that the test leaves open at ``outer``, at most to the ``probes`` nearest, and is searched there
-       in the same way, against the same index.
+       in the same way, against the same index. What is compared there serves both sides: a pair is found when either goes
+       to the other's cell.
     3. Only candidates better than the bound come back; they are merged per vector.
     What travels with a vector is bounded by ``probes``, what a task holds by the size of a cell. Vectors travel in half
     precision, so cosines from other cells are right to 0.0003. With ``exact`` no test is made and each vector goes to all
@@ -256,7 +279,7 @@ def nearest(
             if parts == 1:
                 yield rows_of(sig, own)
                 continue
-            out = [(part, 0, index.packed(smallest))]
+            out = [(part, 0, index.packed(smallest, sig, best[:, -1]))]
             target: dict[int, list[np.ndarray]] = {}
             for s in range(0, len(v), 1024):
                 e = slice(s, s + 1024)
@@ -274,7 +297,8 @@ def nearest(
                     target.setdefault(t, []).append(r)
             for t, r in target.items():
                 r = np.concatenate(r)
-                out += [(t, 1, pickle.dumps((sig[r[i : i + 2048]], v[r[i : i + 2048]].astype(np.float16), best[r[i : i + 2048], -1]), 5)) for i in range(0, len(r), 2048)]
+                for i in np.split(r, range(2048, len(r), 2048)):
+                    out.append((t, 1, pickle.dumps((sig[i], v[i].astype(np.float16), best[i, -1], [smallest[j] for j in i]), 5)))
             for s in range(0, len(out), 64):
                 t, kind, piece = zip(*out[s : s + 64])
                 yield pd.DataFrame({"task": t, "kind": kind, "block": piece, "hi": 0, "lo": 0, "found": None})
@@ -288,30 +312,47 @@ def nearest(
         return pd.DataFrame({"task": -1, "kind": 3, "block": None, "hi": sig[:, 0], "lo": sig[:, 1], "found": found})
 
     def abroad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, index, smallest = -1, None, []
+        part, index, back, mine, theirs = -1, None, None, None, []
+
+        def gained() -> Iterator[pd.DataFrame]:
+            if back:
+                back.settle()
+                hit = np.flatnonzero((back.at >= 0).any(1))
+                if len(hit):
+                    yield rows_of(mine[1][hit], packed(back.best[hit], back.at[hit], theirs))
+
         for b in batches:
             for p, kind, raw in zip(b["task"], b["kind"], b["block"]):
                 if kind == 0:
-                    part = p
-                    smallest, index = Block.unpacked(raw)
+                    yield from gained()
+                    part, theirs = p, []
+                    index, mine = Block.unpacked(raw)
+                    back = Back(mine[2], top)
                 elif kind == 2:
                     yield rows_of(*pickle.loads(raw))
                 elif part == p:  # a cell without vectors has no index
-                    sig, q, kth = pickle.loads(raw)
+                    sig, q, kth, names = pickle.loads(raw)
                     best, at = np.repeat(kth[:, None], top, 1), np.full((len(q), top), -1, np.int64)
-                    index.search(q.astype(np.float32), best, at, d, inner)
+                    back.first = len(theirs)
+                    theirs += names
+                    index.search(q.astype(np.float32), best, at, d, inner, back=back)
+                    back.settle()
                     hit = np.flatnonzero((at >= 0).any(1))
                     if len(hit):
-                        yield rows_of(sig[hit], packed(best[hit], at[hit], smallest))
+                        yield rows_of(sig[hit], packed(best[hit], at[hit], mine[0]))
+        yield from gained()
 
     schema = "task int, kind int, block binary, hi long, lo long, found string"
     answers = rows.mapInPandas(send, "part int, block binary").repartitionById(parts, "part").mapInPandas(home, schema)
     if parts > 1:
         answers = answers.repartitionById(parts, "task").sortWithinPartitions("task", "kind").mapInPandas(abroad, schema)
-    every = F.split(F.concat_ws(END, F.collect_list("found")), END)
-    lists = answers.groupBy("hi", "lo").agg(F.slice(F.array_sort(every), 1, top).alias("found"))
+    every = F.array_sort(F.split(F.concat_ws(END, F.collect_list("found")), END))
+    name = lambda f: F.substr(f, F.lit(8))
+    # a pair found from both sides counts once
+    found = answers.groupBy("hi", "lo").agg(F.filter(every, lambda f: f != "").alias("found")).withColumn("names", F.transform("found", name))
+    lists = found.select("hi", "lo", F.slice(F.filter("found", lambda f, i: F.array_position(F.col("names"), name(f)) == i + 1), 1, top).alias("found"))
     members = rows.mapInPandas(belong, "k string, hi long, lo long").groupBy("k").agg(F.min(F.struct("hi", "lo")).alias("c")).select("k", "c.hi", "c.lo")
-    others = F.filter("found", lambda f: (f != "") & (F.substr(f, F.lit(8)) != F.col("k")))
+    others = F.filter("found", lambda f: name(f) != F.col("k"))
     out = members.join(lists, ["hi", "lo"]).select("k", F.explode(F.slice(others, 1, k)).alias("f"))
     kind = items.schema[key].dataType
     return out.select(F.col("k").cast(kind).alias(key), F.substr("f", F.lit(8)).cast(kind).alias("neighbour_id"), (1 - F.substr("f", F.lit(1), F.lit(7)).cast("long") / 1e6).alias("cosine"))
