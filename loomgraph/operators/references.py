@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import HOT, hot_keys, spread_join
+
 
 def reference_key(c: Column) -> Column:
     """Keys are compared without outer blanks (U+0020) and letter case."""
@@ -41,18 +43,18 @@ def parent_validity(parents: DataFrame, key: str, deletions: DataFrame, at: str
     )
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, hot_rows: int = HOT) -> DataFrame:
     """References whose parent was not there when they were written.
 
-    Both sides are hash-partitioned and sorted by key, then merged in one linear pass (sort-merge join; a key that holds
-    a third of all references is split by adaptive skew handling, since the parent side has one row per key). The
+    Both sides are hash-partitioned and sorted by key, then merged in one linear pass (sort-merge join). References of a key
+    with more than ``hot_rows`` of them are dealt over several tasks by the edge, and its one parent row goes to each. The
     parent's validity intervals separate the kinds:
     'missing' no such parent; 'deleted' the reference falls into [deleted_at, restored_at); 'late' the parent was
     created after the reference. Null times never satisfy a comparison, so they give neither 'deleted' nor 'late'.
     Null and blank references are no references. Empty input gives an empty result. No row twice.
     Result: ref_table, ref_column, edge_id, ref_at, kind.
     """
-    merged = refs.hint("merge").join(parents.withColumn("found", F.lit(True)).hint("merge"), "key", "left")
+    merged = spread_join(refs, parents.withColumn("found", F.lit(True)), "key", F.col("edge_id"), "left", hot_keys(refs, "key", hot_rows), "merge")
     at = F.col("ref_at").cast("timestamp_ntz")
     gone = F.exists("gone", lambda g: (g.gone_from <= at) & (g.gone_until.isNull() | (g.gone_until > at)))
     kind = F.when(F.col("found").isNull(), "missing").when(gone, "deleted").when(F.col("parent_at") > F.col("ref_at"), "late")

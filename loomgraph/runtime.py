@@ -9,19 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see. A machine-local folder is used only where the session names none (local tests)."""
+    """The folder all executors see, named by spark.checkpoint.dir. Where the session names none, a temporary folder is set if
+    the master is local, as in tests; on a cluster it raises, since executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back, so a lost executor costs one re-read."""
+    """Cuts the lineage: writes df as a table in the shared folder and reads it back, so a lost executor costs one re-read.
+
+    The table goes with drop_materialized(), or else when the session's driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.operators.audio import wav_bytes
 from loomgraph.operators.state import get_or_create
-from loomgraph.runtime import materialize
+from loomgraph.runtime import drop_materialized, materialize
 
 
 def audio_sessions(pieces: DataFrame, idle: str = "10 minutes", most_bytes: int = 64 << 20) -> DataFrame:
@@ -61,7 +61,8 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 mi
 def keyed_upsert(path: str, on: str, defaults: dict, schema: str):
     """A foreachBatch function that creates the state rows a batch's keys lack, in the table at ``path``.
 
-    Each batch writes a new version beside the old one; a batch that is run again finds its keys there.
+    Each batch appends the rows of its new keys and reads the key column of the table only; a batch that is run again finds
+    its keys there.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -73,8 +74,10 @@ def keyed_upsert(path: str, on: str, defaults: dict, schema: str):
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             state = spark.createDataFrame([], schema)
-        new = materialize(get_or_create(state, batch, on, defaults).join(state.select(on), on, "left_anti"))
+        fresh = batch.select(on).join(state.select(on), on, "left_anti")
+        new = materialize(get_or_create(spark.createDataFrame([], schema), fresh, on, defaults))
         if not new.isEmpty():
             new.write.mode("append").parquet(path)
+        drop_materialized(new)
 
     return run

@@ -1,11 +1,14 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import runtime
 from loomgraph.operators import graph as G
 from loomgraph.operators import questions as B
 from loomgraph.operators import references as R
 from loomgraph.operators import relations as L
+from loomgraph.operators import skew
 from loomgraph.operators.components import connected_components
 
 ENT = "array<struct<text:string,normalized_text:string,label:string,score:double>>"
@@ -115,6 +118,46 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
 
 
+def test_a_hub_is_dealt(spark):
+    rows = [(0, i) for i in range(1, 400)] + [(1000, 1001), (399, 1000)]
+    got = connected_components(spark.createDataFrame(rows, "a int, b int"), "a", "b", hot_rows=20).collect()
+    assert len(got) == 402 and {r.component for r in got} == {0}
+
+
+def test_hot_keys_are_dealt_over_tasks(spark):
+    n = 6000
+    refs = spark.range(n).selectExpr("cast(id as string) edge_id", "case when id % 3 = 0 then 'hot' else concat('k', id) end as key", "timestamp_ntz'2024-01-01 00:00:00' as ref_at", "'t' as ref_table", "'c' as ref_column")
+    parents = spark.range(n).selectExpr("concat('k', id) as key", "true as is_parent").unionByName(spark.createDataFrame([("hot", True)], "key string, is_parent boolean"))
+    hot = skew.hot_keys(refs, "key", 100)
+    assert [(r.key, r._salts) for r in hot.collect()] == [("hot", 20)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.spread_join(refs, parents, "key", F.col("edge_id"), "left", hot, "merge")
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == n and joined.where("is_parent").count() == n and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert skew.hot_keys(refs, "key") is None and skew.hot_keys(refs.where("false"), "key") is None
+    gone = spark.createDataFrame([("hot", datetime(2023, 1, 1), None)], "chunk_id string, deleted_at timestamp_ntz, restored_at timestamp_ntz")
+    chunks = spark.createDataFrame([("hot", datetime(2022, 1, 1))], "chunk_id string, created_at timestamp_ntz")
+    got = R.orphan_references(refs, R.parent_validity(chunks, "chunk_id", gone), hot_rows=100).groupBy("kind").count().collect()
+    assert sorted((r.kind, r["count"]) for r in got) == [("deleted", 2000), ("missing", 4000)]
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://h:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Session())
+
+
 def test_buckets_and_versions(spark):
     b = spark.createDataFrame([(1, "one", ["p", "x"], ["s"]), (2, "two", ["s", "p"], ["x", "t"]), (3, "three", [], ["t"])], "bucket_pos int, bucket_name string, primary_concepts array<string>, secondary_concepts array<string>")
     q = spark.createDataFrame([("p",), ("x",), ("s",), ("t",), ("u",), (None,)], "primary_concept string")
@@ -122,8 +165,6 @@ def test_buckets_and_versions(spark):
     v = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c"), ("m", 1, "d")], "k string, version int, id string")
     assert {r.id for r in B.latest_bank(v, ["k"], "version").collect()} == {"b", "c", "d"}
     assert {r.id for r in B.latest(v, ["k"], [F.col("version"), F.col("id")]).collect()} == {"c", "d"}
-    import pytest
-
     with pytest.raises(LookupError):
         B.latest(v.where("false"), ["k"], [F.col("version")], strict=True)
 
