@@ -123,8 +123,7 @@ def semantic_neighbours(questions: DataFrame, threshold: float = S.QUESTION_SIMI
     similarity, then id.
     """
     q, i = questions.withColumnRenamed("question_id", "query_id"), questions.withColumnRenamed("question_id", "item_id")
-    most = questions.groupBy("scope").count().agg(F.max("count")).first()[0] or 1
-    hits = vector_topk(q, i, k=int(most), scope=True, floor=threshold)
+    hits = vector_topk(q, i, k=None, scope=True, floor=threshold)
     listed = hits.groupBy(F.col("query_id").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct((-F.round("vector_score", 3)).alias("neg"), F.col("item_id").alias("id")))).alias("n"))
     shaped = F.transform(F.coalesce("n", F.array()), lambda x: F.named_struct(F.lit("question_id"), x.id, F.lit("similarity"), -x.neg))
     return questions.select("question_id").distinct().join(listed, "question_id", "left").select("question_id", F.when(F.col("n").isNull(), F.expr("cast(array() as array<struct<question_id:string,similarity:double>>)")).otherwise(shaped).alias("semantic_neighbours"))

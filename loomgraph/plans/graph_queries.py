@@ -81,20 +81,20 @@ def entity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return G.top_neighbours(G.undirected(load(spark, folder, "entity_edges"))).select("node", "neighbour", "weight", "neighbour_rank")
 
 
-def _path_sql(hops: int, strong: int, weak: int, fan: int) -> str:
-    sql = "WITH " + K.UNDIRECTED.format(fan=fan) + ", h1 AS (SELECT node AS entity, neighbour AS last, weight AS score, semantic AS sem, [node, neighbour] AS nodes FROM near WHERE weight >= 0.2)"
+def _path_sql(hops: int, strong: int, weak: int) -> str:
+    sql = "WITH " + K.UNDIRECTED.format(fan="neighbour_rank") + ", h1 AS (SELECT node AS entity, neighbour AS last, weight AS score, semantic AS sem, [node, neighbour] AS nodes FROM near WHERE weight >= 0.2)"
     for h in range(2, hops + 1):
         sql += f", h{h} AS (SELECT entity, neighbour AS last, score * weight AS score, sem AND semantic AS sem, list_append(nodes, neighbour) AS nodes FROM h{h - 1} JOIN near ON node = last WHERE NOT list_contains(nodes, neighbour) AND score * weight >= 0.2)"
     return sql + f""", p AS (SELECT entity, CASE WHEN sem THEN 'strong' ELSE 'weak' END AS quality, round(score, 6) AS path_score, list_aggregate(nodes, 'string_agg', ' > ') AS nodes FROM h{hops})
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, quality ORDER BY path_score DESC, nodes) AS path_rank FROM p) WHERE path_rank <= CASE WHEN quality = 'strong' THEN {strong} ELSE {weak} END"""
 
 
-@query(_path_sql(2, 5, 3, 10))
+@query(_path_sql(2, 5, 3))
 def paths_2hop(spark: SparkSession, folder: str) -> DataFrame:
     return G.paths(G.undirected(load(spark, folder, "entity_edges")), 2, strong=5, weak=3).drop("path")
 
 
-@query(_path_sql(3, 3, 2, 5))
+@query(_path_sql(3, 3, 2))
 def paths_3hop(spark: SparkSession, folder: str) -> DataFrame:
     return G.paths(G.undirected(load(spark, folder, "entity_edges")), 3, strong=3, weak=2).drop("path")
 

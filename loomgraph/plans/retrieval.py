@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scoring as S
+from loomgraph.functions.text import lowered_tokens
 from loomgraph.operators import edges as G
 from loomgraph.operators import search as Q
 from loomgraph.plans import common as K
+from loomgraph.runtime import materialize
 from loomgraph.sources.tables import load
 
 query = K.Catalogue()
@@ -37,27 +39,29 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
     return K.chunks(spark, folder).select(F.col("chunk_id").alias("item_id"), F.col("document_id").alias("scope"), "text", "entities", F.col("embeddings").alias("v"))
 
 
-def _lexical(spark: SparkSession, folder: str) -> DataFrame:
+def _postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The postings of all chunks, as a table."""
     fields = {"text": F.col("text"), "entities": F.array_join("entities.normalized_text", " ")}
-    from loomgraph.functions.text import lowered_tokens
-
-    return Q.bm25_topk(_topics(spark, folder), _items(spark, folder), {n: lowered_tokens(c) for n, c in fields.items()})
+    return materialize(Q.postings(_items(spark, folder), {n: lowered_tokens(c) for n, c in fields.items()}))
 
 
 def _vector(spark: SparkSession, folder: str) -> DataFrame:
     """The topic's vector is that of its first chunk with a usable one."""
-    items = _items(spark, folder).where("v is not null")
+    items = _items(spark, folder).where("v is not null").select("item_id", "v", "scope")
     first = items.groupBy("scope").agg(F.min_by("v", "item_id").alias("v"))
     queries = _topics(spark, folder).select("query_id", "scope").join(first, "scope").select("query_id", "v", "scope")
-    return Q.vector_topk(queries, items.select("item_id", "v", "scope"), scope=True)
+    return Q.vector_topk(queries, items, scope=True)
 
 
-def _fused(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.fuse(_vector(spark, folder), _lexical(spark, folder))
+def _fused(spark: SparkSession, folder: str, post: DataFrame, **kw) -> DataFrame:
+    return Q.fuse(_vector(spark, folder), Q.lexical_topk(_topics(spark, folder), post), **kw)
 
 
 def _reranked(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.rerank(_fused(spark, folder).select("query_id", "item_id"), _topics(spark, folder), _items(spark, folder).select("item_id", "text"))
+    """Fused hits are a table as well, since three branches of what follows read them."""
+    post = _postings(spark, folder)
+    n = load(spark, folder, "chunks").select("chunk_id").distinct().count()
+    return materialize(Q.rerank_indexed(_fused(spark, folder, post).select("query_id", "item_id"), _topics(spark, folder), post, n))
 
 
 _BM25 = f"""WITH {K.C}, t AS (SELECT DISTINCT id AS query_id, concat_ws(' ', name, list_aggregate(tags, 'string_agg', ' ')) AS query FROM topics),
@@ -87,18 +91,18 @@ rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 @query(_BM25 + " SELECT * FROM bm")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _lexical(spark, folder)
+    return Q.lexical_topk(_topics(spark, folder), _postings(spark, folder))
 
 
 @query(_BM25 + " SELECT query_id, item_id, coalesce(vector_rank, 0) AS vector_rank, coalesce(bm25_rank, 0) AS bm25_rank, rrf_score, rrf_rank FROM fused")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Rank 0: not among that side's hits."""
-    return _fused(spark, folder).select("query_id", "item_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("vector_rank", "bm25_rank")], "rrf_score", "rrf_rank")
+    return _fused(spark, folder, _postings(spark, folder)).select("query_id", "item_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("vector_rank", "bm25_rank")], "rrf_score", "rrf_rank")
 
 
 @query(_BM25 + ", f50 AS (SELECT query_id, item_id, round(coalesce(0.5::DOUBLE / (50 + vector_rank), 0) + coalesce(0.5::DOUBLE / (50 + bm25_rank), 0), 9) AS rrf_score FROM vt FULL JOIN bm USING (query_id, item_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, item_id) AS rrf_rank FROM f50")
 def hybrid_penalty_50(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.fuse(_vector(spark, folder), _lexical(spark, folder), k=S.HYBRID_K).select("query_id", "item_id", "rrf_score", "rrf_rank")
+    return _fused(spark, folder, _postings(spark, folder), k=S.HYBRID_K).select("query_id", "item_id", "rrf_score", "rrf_rank")
 
 
 @query(_BM25 + " SELECT query_id, item_id, vector_score, vector_rank FROM vt WHERE vector_score >= 0.3")
@@ -140,7 +144,7 @@ def expanded_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {K.C}, p AS (SELECT a.chunk_id AS source_chunk, b.chunk_id AS target_chunk,
     list_sort(list_distinct(list_filter(list_intersect(list_transform(a.entities, lambda e: e.normalized_text), list_transform(b.entities, lambda e: e.normalized_text)), lambda x: x IS NOT NULL))) AS sh,
     round(list_cosine_similarity(a.v, b.v), 6) AS similarity
-  FROM c a JOIN c b ON a.document_id = b.document_id AND a.source_id = b.source_id AND a.chunk_id < b.chunk_id)
+  FROM c a JOIN c b ON a.document_id = b.document_id AND a.chunk_id < b.chunk_id)
 SELECT source_chunk, target_chunk, coalesce(list_aggregate(sh, 'string_agg', ' | '), '') AS shared_entities, coalesce(similarity, -1) AS similarity FROM p WHERE similarity >= 0.72 OR len(sh) > 0"""
 )
 def chunk_edges(spark: SparkSession, folder: str) -> DataFrame:

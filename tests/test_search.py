@@ -26,6 +26,29 @@ def test_vector_topk_against_brute_force(spark):
     assert none.count() == 0
 
 
+def test_blocks_are_dealt_evenly():
+    """Blocks of 2,000 partitions, which start alike, spread over 100 parts; every process places them alike."""
+    places = [Q._place([f"v{p}-{i}" for i in range(5)], 100) for p in range(2000) for _ in range(5)]
+    assert max(np.bincount(places, minlength=100)) <= 2 * 100
+
+
+def test_large_scopes_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HELD", 30)
+    rng = np.random.default_rng(3)
+    rows = [(f"i{i:03d}", ["hot", "b", "c", None][min(i % 5, 3)] if i % 2 else "hot", rng.normal(size=4).tolist()) for i in range(200)]
+    items = spark.createDataFrame(rows, "item_id string, scope string, v array<double>")
+    queries = items.withColumnRenamed("item_id", "query_id")
+    got = {(r.query_id, r.item_id): r.vector_rank for r in Q.vector_topk(queries, items, 3, scope=True).collect()}
+    x = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
+    want = {}
+    for i, s, _ in rows:
+        near = sorted((-round(float(x[i] @ x[j]), 6), j) for j, t, _ in rows if s is not None and t == s and j != i)
+        want |= {(i, j): n for n, (_, j) in enumerate(near[:3], 1)}
+    assert got == want
+    every = Q.vector_topk(queries, items, None, scope=True, floor=0.5)
+    assert {(r.query_id, r.item_id) for r in every.collect()} == {(i, j) for i, s, _ in rows for j, t, _ in rows if s is not None and s == t and i != j and round(float(x[i] @ x[j]), 6) >= 0.5}
+
+
 def test_bm25_by_hand(spark):
     items = spark.createDataFrame([("a", "t", "red red blue"), ("b", "t", "blue"), ("c", "u", "red"), ("d", "t", None), ("e", "t", "")], "item_id string, scope string, text string")
     queries = spark.createDataFrame([("q", "t", "Red!"), ("none", "t", None), ("empty", "t", "...")], "query_id string, scope string, query string")
