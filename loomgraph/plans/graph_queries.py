@@ -136,18 +136,46 @@ def entity_graph(spark: SparkSession, folder: str) -> DataFrame:
     return g.where("relation is not null").groupBy("relation").agg(F.count("*").alias("edges"))
 
 
-_PACKET = f"""WITH {K.C}, {K.UNDIRECTED.format(fan=10)}, x AS (SELECT DISTINCT document_id, e.normalized_text AS name, e.label AS label FROM (SELECT document_id, unnest(entities) AS e FROM c) WHERE e.normalized_text IS NOT NULL),
-core AS (SELECT document_id, string_agg(DISTINCT name, ' | ' ORDER BY name) AS core_concepts FROM x WHERE (label IS NULL OR label NOT IN ('equation', 'variable')) AND name IN (SELECT node FROM near) GROUP BY 1),
-eqs AS (SELECT document_id, string_agg(DISTINCT name, ' | ' ORDER BY name) AS retrieved_equations FROM x WHERE label = 'equation' GROUP BY 1),
-sup AS (SELECT document_id, string_agg(chunk_id, ' | ' ORDER BY chunk_id) AS supporting_chunks FROM c WHERE document_id IS NOT NULL GROUP BY 1)
-SELECT document_id AS topic_id, coalesce(core_concepts, '') AS core_concepts, supporting_chunks, coalesce(retrieved_equations, '') AS retrieved_equations FROM sup LEFT JOIN core USING (document_id) LEFT JOIN eqs USING (document_id)"""
+def _packet_paths(hops: int, strong: int, weak: int) -> str:
+    """The best paths of each topic's graph, rendered, as CTE r{hops}."""
+    sql, at = "", f"w{hops}_"
+    for h in range(1, hops + 1):
+        if h == 1:
+            sql += f", {at}1 AS (SELECT t, node AS entity, neighbour AS last, weight AS score, semantic AS sem, [node, neighbour] AS nodes, '- ' || relation || ' -> ' || neighbour AS chain FROM s WHERE weight >= 0.2)"
+        else:
+            sql += f", {at}{h} AS (SELECT w.t, entity, neighbour AS last, score * weight AS score, sem AND semantic AS sem, list_append(nodes, neighbour) AS nodes, chain || '- ' || relation || ' -> ' || neighbour AS chain FROM {at}{h - 1} w JOIN s ON s.t = w.t AND node = last WHERE NOT list_contains(nodes, neighbour) AND score * weight >= 0.2)"
+    return sql + f""", q{hops} AS (SELECT t, entity, chain, CASE WHEN sem THEN 'strong' ELSE 'weak' END AS quality, round(score, 6) AS path_score, list_aggregate(nodes, 'string_agg', ' > ') AS nodes FROM {at}{hops}),
+r{hops} AS (SELECT t, string_agg('[' || quality[1] || '|' || round(path_score::DECIMAL(18, 6), 4)::DECIMAL(18, 4)::VARCHAR || '] ' || entity || chain, chr(10) ORDER BY entity, quality, path_rank) AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY t, entity, quality ORDER BY path_score DESC, nodes) AS path_rank FROM q{hops}) WHERE path_rank <= CASE WHEN quality = 'strong' THEN {strong} ELSE {weak} END GROUP BY t)"""
+
+
+_PACKET = f"""WITH {K.C}, x AS (SELECT DISTINCT document_id AS t, chunk_id, text, e.normalized_text AS name, e.label AS label FROM (SELECT document_id, chunk_id, text, unnest(entities) AS e FROM c WHERE document_id IS NOT NULL)),
+nm AS (SELECT DISTINCT t, name FROM x WHERE name IS NOT NULL),
+tx AS (SELECT DISTINCT document_id AS t, text FROM c WHERE document_id IS NOT NULL AND text IS NOT NULL),
+oe AS (SELECT c.document_id AS t, e.source, e.target, e.relation, e.weight, e.edge_type FROM entity_edges e JOIN c ON c.chunk_id = e.chunk_id WHERE c.document_id IS NOT NULL),
+te AS (SELECT * FROM oe WHERE (t, source) IN (SELECT t, name FROM nm) AND (t, target) IN (SELECT t, name FROM nm) AND source <> target AND trim(source, ' ') <> '' AND trim(target, ' ') <> '' AND weight BETWEEN 0 AND 1 AND NOT isnan(weight)),
+u AS (SELECT t, a, b, weight, semantic, relation FROM (SELECT t, least(source, target) AS a, greatest(source, target) AS b, weight, coalesce(edge_type = 'semantic', false) AS semantic, coalesce(relation, '') AS relation,
+  row_number() OVER (PARTITION BY t, least(source, target), greatest(source, target) ORDER BY weight DESC, edge_type = 'semantic' DESC NULLS LAST, relation DESC NULLS LAST) AS n FROM te) WHERE n = 1),
+s AS (SELECT t, a AS node, b AS neighbour, weight, semantic, relation FROM u UNION ALL SELECT t, b, a, weight, semantic, relation FROM u)
+{_packet_paths(2, 5, 3)}{_packet_paths(3, 3, 2)},
+eq AS (SELECT DISTINCT t, coalesce(text, '') AS source, name AS target FROM x WHERE label = 'equation' AND name IS NOT NULL),
+co AS (SELECT DISTINCT t, coalesce(node, '') AS source, other AS target FROM (SELECT t, source AS node, target AS other FROM oe WHERE relation = 'co_occurs' UNION SELECT t, target, source FROM oe WHERE relation = 'co_occurs') WHERE (t, other) IN (SELECT t, target FROM eq)),
+topic AS (SELECT DISTINCT document_id AS t FROM c WHERE document_id IS NOT NULL),
+lists AS (SELECT t, 'core' AS kind, string_agg(name, ' | ' ORDER BY name) AS text, '[' || string_agg(chr(39) || name || chr(39), ', ' ORDER BY name) || ']' AS quoted FROM nm GROUP BY t
+  UNION ALL SELECT t, 'texts', string_agg(text, ' | ' ORDER BY text), '[' || string_agg(chr(39) || text || chr(39), ', ' ORDER BY text) || ']' FROM tx GROUP BY t
+  UNION ALL SELECT t, 'retrieved', string_agg('[EQ] ' || target || ' ' || chr(10) || ' INTUITION: ' || source, chr(10) ORDER BY target, source), NULL FROM eq GROUP BY t
+  UNION ALL SELECT t, 'related', string_agg('[EQ] ' || target || ' ' || chr(10) || ' INTUITION: ' || source, chr(10) ORDER BY target, source), NULL FROM co GROUP BY t
+  UNION ALL SELECT t, '2', text, NULL FROM r2 UNION ALL SELECT t, '3', text, NULL FROM r3),
+packet AS (SELECT topic.t AS topic_id, coalesce(max(text) FILTER (kind = 'core'), '') AS core_concepts, coalesce(max(quoted) FILTER (kind = 'core'), '[]') AS core, coalesce(max(text) FILTER (kind = 'texts'), '') AS supporting_chunks,
+  coalesce(max(quoted) FILTER (kind = 'texts'), '[]') AS texts, coalesce(max(text) FILTER (kind = '2'), '') AS concept_paths_2_hop, coalesce(max(text) FILTER (kind = '3'), '') AS concept_paths_3_hop,
+  coalesce(max(text) FILTER (kind = 'retrieved'), 'None') AS retrieved_equations, coalesce(max(text) FILTER (kind = 'related'), 'None') AS related_equations FROM topic LEFT JOIN lists ON lists.t = topic.t GROUP BY 1)"""
 
 
 def _packets(spark: SparkSession, folder: str) -> DataFrame:
     return G.topic_packets(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
 
 
-@query(_PACKET)
+@query(_PACKET + " SELECT topic_id, core_concepts, supporting_chunks, concept_paths_2_hop, concept_paths_3_hop, retrieved_equations, related_equations FROM packet")
 def topic_packet(spark: SparkSession, folder: str) -> DataFrame:
     """Texts and concepts joined, paths and equations as in the prompts."""
     text = lambda c: F.array_join(c, " | ").alias(c)
@@ -155,7 +183,13 @@ def topic_packet(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("topic_id", text("core_concepts"), text("supporting_chunks"), *[X.render_paths(F.col("concept_paths")[k]).alias(f"concept_paths_{k}") for k in ("2_hop", "3_hop")], *[X.render_equations(F.col(k)).alias(k) for k in ("retrieved_equations", "related_equations")])
 
 
-@query()
+@query(
+    _PACKET
+    + """ SELECT topic_id, difficulty, '## Available Entities' || chr(10) || core || chr(10) || chr(10) || '## Supporting Knowledge' || chr(10) || texts || chr(10) || CASE difficulty
+  WHEN 'medium' THEN chr(10) || '## Concept Paths (2-Hop)' || chr(10) || concept_paths_2_hop || chr(10) || chr(10) || '## Retrieved Equations' || chr(10) || retrieved_equations || chr(10)
+  WHEN 'hard' THEN chr(10) || '## Concept Paths (3-Hop)' || chr(10) || concept_paths_3_hop || chr(10) || chr(10) || '## Related Equations' || chr(10) || related_equations || chr(10) ELSE '' END AS context
+FROM packet, (SELECT unnest(['easy', 'medium', 'hard']) AS difficulty)"""
+)
 def rendered_context(spark: SparkSession, folder: str) -> DataFrame:
     """The prompts' contexts per topic and difficulty, with the paths that start at the topic's concepts."""
     rows = _packets(spark, folder).withColumn("difficulty", F.explode(F.array(*map(F.lit, ("easy", "medium", "hard")))))
