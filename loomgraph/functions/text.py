@@ -56,7 +56,8 @@ def normalize_entity(c: Column) -> Column:
 
 
 def split_sentences(c: Column, longer_than: int = 10) -> Column:
-    parts = F.transform(F.split(c, r"(?<=[.?!])\s+"), lambda s: F.trim(s))
+    """Sentences end at white space behind . ? or !, and at line breaks, as list items and headings have no full stop."""
+    parts = F.transform(F.split(c, r"\s*\n\s*|(?<=[.?!])\s+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) > longer_than)
 
 

@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.fuzzy import best_partial_ratio
+from loomgraph.functions.fuzzy import best_partial_ratio, normalize_query
 
 
 def spaced(c):
     return F.regexp_replace(F.lower(F.trim(c)), r"[-_]+", " ")
 
 
-def detect_topics(queries: DataFrame, topics: DataFrame, fuzzy_above: float = 60, fuzzy: bool = True) -> DataFrame:
+def detect_topics(queries: DataFrame, topics: DataFrame, fuzzy_above: float = 60, fuzzy: bool = True, most: int = 10_000) -> DataFrame:
     """(query, topic_id, stage): the topics of every query by the first stage that finds any.
 
     Stages: 1 the id, 2 the name, both with hyphens and underscores as blanks; 3 a tag contained in the query; 4 a tag
-    similar to part of it (if ``fuzzy``); 5 none: all topics, for the caller to report as not found. Topics are a
-    dimension and go to the queries as one array; stages before the fuzzy one stay in the JVM.
-    Null queries have no row; topics without tags never match by tag.
+    similar to part of it (if ``fuzzy``); 5 none: all topics, for the caller to report as not found. A name ends the
+    search: with it come the topics before it, by id, of which a tag is contained. With ``fuzzy`` the query, and the names,
+    are read without the phrases by which people ask. Topics are a dimension and go to the queries as one array (checked: at
+    most ``most``); stages before the fuzzy one stay in the JVM. Null queries have no row; topics without tags never match by tag.
     """
-    listed = topics.select(F.struct("id", "name", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")).alias("t")).distinct().agg(F.array_sort(F.collect_list("t")).alias("all"))
-    q = queries.select("query").where("query is not null").distinct().withColumn("q", spaced(F.col("query"))).withColumn("one", F.lit(1)).join(F.broadcast(listed.withColumn("one", F.lit(1))), "one")
-    # a name match ends the search: only tag matches of topics before it in the list count besides
+    if topics.select("id").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} topics")
+    plain = normalize_query if fuzzy else spaced
+    listed = topics.withColumn("asked", plain(F.col("name"))).select(F.struct("id", "name", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "asked").alias("t")).distinct().agg(F.array_sort(F.collect_list("t")).alias("all"))
+    q = queries.select("query").where("query is not null").distinct().withColumn("q", plain(F.col("query"))).withColumn("one", F.lit(1)).join(F.broadcast(listed.withColumn("one", F.lit(1))), "one")
     stage = lambda cond: F.transform(F.filter("all", cond), lambda t: t.id)
-    staged = q.select(
-        "query", "q", "all", stage(lambda t: spaced(t.id) == F.col("q")).alias("s1"), stage(lambda t: spaced(t["name"]) == F.col("q")).alias("s2"), stage(lambda t: F.exists(t.tags, lambda g: F.contains(F.col("q"), g))).alias("s3")
-    )
+    tagged = lambda t: F.exists(t.tags, lambda g: F.contains(F.col("q"), g))
+    q = q.withColumn("named", F.array_position(F.transform("all", lambda t: F.coalesce(t.asked == F.col("q"), F.lit(False))), True))
+    by_name = F.when(F.col("named") > 0, stage(lambda t, i: (i == F.col("named") - 1) | ((i < F.col("named") - 1) & tagged(t)))).otherwise(F.array().cast("array<string>"))
+    staged = q.select("query", "q", "all", stage(lambda t: spaced(t.id) == F.col("q")).alias("s1"), by_name.alias("s2"), stage(tagged).alias("s3"))
     if fuzzy:
         rest = staged.where("size(s1) + size(s2) + size(s3) = 0").select("query", "q", F.explode("all").alias("t"))
         scored = rest.where(best_partial_ratio(F.col("t.tags"), F.col("q")) > fuzzy_above).groupBy("query").agg(F.array_sort(F.collect_list("t.id")).alias("s4"))

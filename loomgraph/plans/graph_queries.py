@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rendering as X
+from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
 from loomgraph.operators import relations as R
 from loomgraph.plans import common as K
@@ -198,16 +199,51 @@ def rendered_context(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("topic_id", "difficulty", text.alias("context"))
 
 
-@query()
+_LETTER = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+_OTHER = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+_IN_SENTENCE = rf"""WITH {K.C}, parts AS (SELECT chunk_id, entities, list_filter(list_transform(string_split(regexp_replace(text, '\s*\n\s*|([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS p FROM c WHERE text IS NOT NULL),
+sents AS (SELECT chunk_id, entities, unnest(p) AS sentence, unnest(range(len(p))) AS sent_no FROM parts),
+ents AS (SELECT chunk_id, sent_no, sentence, regexp_replace(lower(sentence), '\[\d+\]', '', 'g') AS s, unnest(entities) AS e, unnest(range(len(entities))) AS pos FROM sents),
+se AS (SELECT chunk_id, sent_no, sentence, pos, e.text AS text, e.normalized_text AS name FROM ents WHERE contains(s, e.text) AND e.normalized_text IS NOT NULL AND regexp_matches(s,
+  CASE WHEN regexp_matches(e.text[1], '{_LETTER}') THEN '(?:^|{_OTHER})' ELSE '{_LETTER}' END || regexp_escape(e.text) || CASE WHEN regexp_matches(e.text[-1], '{_LETTER}') THEN '(?:$|{_OTHER})' ELSE '{_LETTER}' END))"""
+
+
+@query(
+    _IN_SENTENCE
+    + """ SELECT chunk_id, sent_no, source, 'co_occurs' AS relation, target, explanation, 'contextual' AS edge_type, 0.2::DOUBLE AS weight FROM (
+  SELECT a.chunk_id, a.sent_no, a.name AS source, b.name AS target, trim(a.sentence, ' ') AS explanation,
+    row_number() OVER (PARTITION BY a.chunk_id, a.sent_no, least(a.name, b.name), greatest(a.name, b.name) ORDER BY a.pos, b.pos) AS n
+  FROM se a JOIN se b ON a.chunk_id = b.chunk_id AND a.sent_no = b.sent_no AND a.pos < b.pos AND a.name <> b.name) WHERE n = 1"""
+)
 def cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     return R.co_occurrences(K.chunks(spark, folder).select("chunk_id", "text", "entities"))
 
 
-@query()
+@query(
+    rf"""WITH {K.C}, forms AS (SELECT text, name, label, array_to_string({K.TOK.format("text")}, ' ') AS gram FROM (
+    SELECT name AS text, name, label FROM entity_catalog UNION SELECT unnest(aliases), name, label FROM entity_catalog) WHERE lower(text) NOT IN ({", ".join(f"'{x}'" for x in T.STOP_ENTITIES)})),
+  form AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY name, text, label) AS n FROM forms) WHERE n = 1),
+  sizes AS (SELECT DISTINCT len(string_split(gram, ' ')) AS k FROM form),
+  w AS (SELECT chunk_id, {K.TOK.format("text")} AS w FROM c WHERE text IS NOT NULL),
+  starts AS (SELECT chunk_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, sizes WHERE len(w) >= k),
+  named AS (SELECT DISTINCT chunk_id, lower(text) AS text, name AS normalized_text, label FROM (SELECT DISTINCT chunk_id, array_to_string(w[i:i + k - 1], ' ') AS gram FROM starts) JOIN form USING (gram)),
+  eqs AS (SELECT chunk_id, unnest(list_filter(regexp_extract_all(text, '(?s)\$\$(.*?)\$\$', 1), lambda e: len(e) > 0)) AS e FROM c WHERE text IS NOT NULL),
+  own AS (SELECT DISTINCT chunk_id, regexp_replace(e, '^\s+|\s+$', '', 'g') AS text, 'equation' AS label FROM eqs
+    UNION SELECT chunk_id, v, 'variable' FROM (SELECT chunk_id, unnest(regexp_extract_all(e, '\\?[a-zA-Z]+(?:_[a-zA-Z0-9]+)?')) AS v FROM eqs) WHERE length(v) <= 20)
+SELECT chunk_id, text, label, min(normalized_text) AS normalized_text, 1.0::DOUBLE AS score FROM (SELECT chunk_id, text, normalized_text, label FROM named UNION ALL SELECT chunk_id, text, text, label FROM own) GROUP BY chunk_id, text, label"""
+)
 def entity_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return R.extract_entities(K.chunks(spark, folder).select("chunk_id", "text"), load(spark, folder, "entity_catalog"))
 
 
-@query()
+@query(
+    _IN_SENTENCE
+    + """, ph AS (SELECT lower(phrase) AS phrase, min(relation) AS relation FROM (SELECT replace(relation, '_', ' ') AS phrase, relation FROM relation_types UNION SELECT unnest(phrases), relation FROM relation_types) GROUP BY 1),
+pairs AS (SELECT a.chunk_id, a.sent_no, a.pos, a.sentence, a.name AS source, b.name AS target, b.text AS text2, substr(lower(a.sentence), instr(lower(a.sentence), a.text) + length(a.text)) AS rest
+  FROM se a JOIN se b ON a.chunk_id = b.chunk_id AND a.sent_no = b.sent_no AND a.name <> b.name)
+SELECT chunk_id, source, relation, target, explanation, 'semantic' AS edge_type, 0.9::DOUBLE AS weight FROM (
+  SELECT chunk_id, source, relation, target, trim(sentence, ' ') AS explanation, row_number() OVER (PARTITION BY chunk_id ORDER BY sent_no, pos, target, text2, relation) AS n
+  FROM pairs JOIN ph ON ph.phrase = trim(split_part(rest, text2, 1), ' ') WHERE contains(rest, text2)) WHERE n <= 15"""
+)
 def relation_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return R.pattern_relations(K.chunks(spark, folder).select("chunk_id", "text", "entities"), load(spark, folder, "relation_types"))

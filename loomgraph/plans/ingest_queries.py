@@ -105,6 +105,12 @@ def membership_hash(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("document_id", "source_id").agg(F.sha2(H.json_array(listed), 256).alias("source_hash"))
 
 
+def _canonical(c: str) -> str:
+    """A prompt with LF line ends, without white space at line ends and without empty lines in a row, trimmed."""
+    t = rf"regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '(?m)[ \t\f\v]+$', '', 'g')"
+    return rf"regexp_replace(regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\v]+|[\s\v]+$', '', 'g')"
+
+
 _J = lambda c: f"coalesce(to_json({c})::VARCHAR, 'null')"
 _SOURCE = f"""WITH {K.C}, ej AS (SELECT chunk_id, '[' || list_aggregate(list_transform(entities, lambda e: '{{"label":' || {_J("e.label")} || ',"normalized_text":' || {_J("e.normalized_text")} || ',"score":' || coalesce(e.score::VARCHAR, 'null') || ',"text":' || {_J("e.text")} || '}}'), 'string_agg', ',') || ']' AS ents FROM c WHERE len(entities) > 0),
 j AS (SELECT document_id, source_id, chunk_id, '{{"chunk_id":' || {_J("chunk_id")} || ',"document_id":' || {_J("document_id")} || ',"entities":' || CASE WHEN entities IS NULL THEN 'null' WHEN len(entities) = 0 THEN '[]' ELSE ents END
@@ -127,7 +133,10 @@ def knowledge_hash(spark: SparkSession, folder: str) -> DataFrame:
     return H.knowledge_hashes(load(spark, folder, "topics"), c.select("source_id"), H.source_hashes(c)).select("topic", F.size("sources").alias("n_sources"), "knowledge_hash")
 
 
-@query()
+@query(
+    rf"""WITH {K.D}, p AS (SELECT doc_id, {_canonical("title")} AS s, {_canonical("text")} AS u FROM d WHERE text IS NOT NULL AND title IS NOT NULL)
+SELECT doc_id, sha256('{{"system_prompt":' || {_J("s")} || ',"user_prompt":' || {_J("u")} || '}}') AS prompt_hash FROM p"""
+)
 def prompt_hash(spark: SparkSession, folder: str) -> DataFrame:
     d = K.documents(spark, folder).where("text is not null and title is not null")
     return d.select("doc_id", H.prompt_hash(T.canonical_prompt(F.col("title")), T.canonical_prompt(F.col("text"))).alias("prompt_hash"))
@@ -183,8 +192,9 @@ def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 _DETECT = f"""WITH {K.D}, q AS (SELECT DISTINCT split_part(title, ':', 1) AS query FROM d WHERE title IS NOT NULL), n AS (SELECT query, regexp_replace(lower(trim(query, ' ')), '[-_]+', ' ', 'g') AS q FROM q),
 t AS (SELECT DISTINCT id, regexp_replace(lower(trim(id, ' ')), '[-_]+', ' ', 'g') AS i, regexp_replace(lower(trim(name, ' ')), '[-_]+', ' ', 'g') AS m, coalesce(tags, []) AS tags FROM topics),
-s AS (SELECT query, id, CASE WHEN q = i THEN 1 WHEN q = m THEN 2 WHEN len(list_filter(tags, lambda g: contains(q, g))) > 0 THEN 3 ELSE 5 END AS stage FROM n, t),
-f AS (SELECT query, id AS topic_id, stage FROM s QUALIFY stage = min(stage) OVER (PARTITION BY query))"""
+s AS (SELECT query, id, q = i AS s1, len(list_filter(tags, lambda g: contains(q, g))) > 0 AS s3, row_number() OVER (PARTITION BY query ORDER BY id) AS k, CASE WHEN q = m THEN row_number() OVER (PARTITION BY query ORDER BY id) END AS own FROM n, t),
+g AS (SELECT *, min(own) OVER (PARTITION BY query) AS p, bool_or(s1) OVER (PARTITION BY query) AS any1, bool_or(s3) OVER (PARTITION BY query) AS any3 FROM s),
+f AS (SELECT query, id AS topic_id, CASE WHEN any1 THEN 1 WHEN p IS NOT NULL THEN 2 WHEN any3 THEN 3 ELSE 5 END AS stage FROM g WHERE CASE WHEN any1 THEN s1 WHEN p IS NOT NULL THEN k = p OR (k < p AND s3) WHEN any3 THEN s3 ELSE true END)"""
 
 
 def _detected(spark: SparkSession, folder: str, fuzzy: bool) -> DataFrame:

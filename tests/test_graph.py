@@ -44,6 +44,16 @@ def test_cooccurrence(spark):
     assert got == {("risk", "loss fn", "The "), ("loss fn", "bias", "Bias")}
 
 
+def test_relations_by_pattern(spark):
+    ents = [{"text": t, "normalized_text": n, "label": "m", "score": 1.0} for t, n in (("adam", "adam"), ("sgd", "sgd"), ("momentum", "momentum"))]
+    text = "Notes:\n- Adam builds upon SGD\n- Adam is fast. SGD uses momentum [3]. Momentum, not used by Adam."
+    c = spark.createDataFrame([("c", text, ents), ("n", None, ents), ("e", "Adam uses SGD", None)], f"chunk_id string, text string, entities {ENT}")
+    d = spark.createDataFrame([("extends", ["builds upon"]), ("uses", None)], "relation string, phrases array<string>")
+    got = sorted((r.chunk_id, r.source, r.relation, r.target, r.explanation) for r in L.pattern_relations(c, d).collect())
+    assert got == [("c", "adam", "extends", "sgd", "- Adam builds upon SGD"), ("c", "sgd", "uses", "momentum", "SGD uses momentum [3].")]
+    assert len(L.pattern_relations(c, d, most=1).collect()) == 1
+
+
 def test_long_names_are_extracted(spark):
     k = spark.createDataFrame([("deep net", "method", ["the very long name of a deep net"]), ("loss", "term", None)], "name string, label string, aliases array<string>")
     c = spark.createDataFrame([("c", "Here is the Very long name of a deep-net, and loss."), ("d", None), ("e", "loss"), ("f", "")], "chunk_id string, text string")

@@ -66,6 +66,17 @@ def test_topics(spark):
     assert [(r.topic, r.switched) for r in W.topic_switches(m, "k", ["n"]).orderBy("n").collect()] == [(None, False), ("a", False), ("a", False), ("b", True)]
 
 
+def test_queries_are_read_as_asked(spark):
+    t = spark.createDataFrame([("a_first", "First", ["logistic"]), ("log_reg", "Logistic Regression", ["glm"]), ("z_last", "Last", ["regression"])], "id string, name string, tags array<string>")
+    q = spark.createDataFrame([("ask me on logistic regression",), ("Logistic-Regression",), ("glm",)], "query string")
+    got = sorted(map(tuple, W.detect_topics(q, t).collect()))
+    # a name match ends the search, with the tag matches before it
+    assert got == [("Logistic-Regression", "a_first", 2), ("Logistic-Regression", "log_reg", 2), ("ask me on logistic regression", "a_first", 2), ("ask me on logistic regression", "log_reg", 2), ("glm", "log_reg", 3)]
+    assert {r.stage for r in W.detect_topics(q.limit(1), t, fuzzy=False).collect()} == {3}
+    with pytest.raises(ValueError):
+        W.detect_topics(q, t, most=2)
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(0.5, [1, 2]), (1.5, [1]), (None, None), (float("nan"), [1, 2])], "w double, a array<int>")
     rules = [V.between("w"), V.sized("a", 2, 3)]
