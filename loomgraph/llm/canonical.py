@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import hot_keys, spread_join
+
 UNMATCHED = "UNMATCHED"
 #: Words that a writer puts around a name without changing what it names.
 LEADING = frozenset(
@@ -123,6 +125,11 @@ def readings(value: str) -> list[str]:
     return list(dict.fromkeys(result))
 
 
+def _initials(words: list[str]) -> str:
+    """What a name and its abbreviation share: the first two letters of every word."""
+    return " ".join(w[:2] for w in words)
+
+
 @dataclass
 class Dictionary:
     """Canonical entries with their other forms, indexed by symmetric deletes of the forms without blanks."""
@@ -138,7 +145,7 @@ class Dictionary:
             raise ValueError(f"the reference list has more than {self.largest} forms; it is broadcast only up to that bound")
         self.forms: dict[str, tuple[str, str]] = {}  # without blanks -> (with blanks, canonical)
         self.words: set[str] = set()
-        self.initials: dict[tuple[int, str], list[tuple[list[str], str]]] = defaultdict(list)
+        self.initials: dict[str, list[tuple[list[str], str]]] = defaultdict(list)
         self.index: dict[str, list[str]] = defaultdict(list)
         for name, others in sorted(self.entries, key=lambda e: (-self.frequency.get(e[0], 0), e[0])):
             for k, form in enumerate([name, *others]):
@@ -157,7 +164,7 @@ class Dictionary:
                         self.forms[compact] = (v, name)
                     self.words |= set(v.split())
                 words = text.split()
-                self.initials[len(words), words[0][:2]].append((words, name))
+                self.initials[_initials(words)].append((words, name))
         for compact in self.forms:
             for d in deletes(compact[:PREFIX], self.allowed(compact)):
                 self.index[d].append(compact)
@@ -180,7 +187,7 @@ class Dictionary:
         for x in ways:
             x = x.replace(".", "")
             compact = x.replace(" ", "")
-            if len(compact) < 4 or len(compact) > 200:
+            if not compact:
                 continue
             typed = x.split()
             index = self.index
@@ -197,6 +204,23 @@ class Dictionary:
                 break
         return best[2] if best else UNMATCHED
 
+    def keys(self) -> Iterator[str]:
+        """What an entry is found by: deletes of its forms' beginnings, and its initials."""
+        yield from (f"d{k}" for k in self.index)
+        yield from (f"i{k}" for k in self.initials)
+
+    def keys_of(self, value: str) -> tuple[set[str], set[str]]:
+        """What ``find`` would look a value up by, and the words in it."""
+        keys, words = set(), set()
+        for x in readings(value):
+            if "." in x:
+                keys.add(f"i{_initials(x.split())}")
+            x = x.replace(".", "")
+            words |= set(x.split())
+            compact = x.replace(" ", "")
+            keys |= {f"d{d}" for d in deletes(compact[:PREFIX], self.allowed(compact))}
+        return keys, words
+
     def same_words(self, typed: list[str], form: list[str]) -> bool:
         """A word that is spelled right, but isn't in the form, makes the value another name."""
         if len(typed) != len(form):
@@ -207,7 +231,7 @@ class Dictionary:
         """The entry whose words begin with the typed ones, each either whole or ending with a full stop."""
         found = [
             (-self.frequency.get(name, 0), name)
-            for words, name in self.initials.get((len(typed), typed[0][:2]), [])
+            for words, name in self.initials.get(_initials(typed), [])
             if all(w.startswith(t[:-1]) and len(t) > 2 if t.endswith(".") else w == t or w + "s" == t for t, w in zip(typed, words))
         ]
         return min(found)[1] if found else None
@@ -222,8 +246,8 @@ def canonical_values(values: DataFrame, keys: list[str], value: str, dictionary:
     distance wins, then the entry of highest frequency, then the smaller name.
 
     Defined cases: null and blank values, and values that are letter for letter canonical, have no row (filtered before
-    Python); values over 200 characters are compared exactly only; repeated rows count once; an empty reference list
-    leaves everything unmatched. Result: keys, canonical.
+    Python); values of any length are compared; repeated rows count once; an empty reference list leaves everything
+    unmatched. Result: keys, canonical. See ``mapped`` for lists of any length.
     """
     names = [name for name, _ in dictionary.entries]
     rows = values.select(*keys, F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != ""))
@@ -244,3 +268,61 @@ def canonical_values(values: DataFrame, keys: list[str], value: str, dictionary:
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", canonical string"
     return rows.mapInPandas(run, schema).distinct()
+
+
+def mapped(values: DataFrame, keys: list[str], value: str, entries: DataFrame, name: str, forms: str, verbs: bool = False, largest: int = Dictionary.largest) -> DataFrame:
+    """canonical_values against a table of entries (a name and a list of its other forms), of any length.
+
+    A list of at most ``largest`` forms (counted) is broadcast as a dictionary. A longer one is joined: entries and the
+    distinct values are keyed by their deletes and initials, what meets are a value's candidates, and the same dictionary
+    is made of these alone, so the result is the same. How often an entry is named letter for letter is its frequency.
+    """
+    listed = entries.select(F.col(name).alias("name"), F.coalesce(F.array_compact(F.col(forms)), F.array().cast("array<string>")).alias("forms")).where("name is not null").distinct()
+    rows = values.select(*keys, F.col(value).alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != ""))
+    size = listed.agg(F.sum(1 + F.size("forms"))).first()[0] or 0
+    if size <= largest:
+        own = listed.collect()
+        names = [r[0] for r in own]
+        counts = rows.where(F.col("value").isin(names)).groupBy("value").count().collect() if names else []
+        return canonical_values(values, keys, value, Dictionary([(r[0], list(r[1])) for r in own], {r[0]: r[1] for r in counts}, verbs, largest=largest))
+
+    names = listed.select("name").distinct()
+    counted = rows.join(names.withColumnRenamed("name", "value"), "value").groupBy(F.col("value").alias("name")).agg(F.count("*").alias("n"))
+    listed = listed.join(counted, "name", "left").select("name", "forms", F.coalesce("n", F.lit(0)).alias("n"))
+    free = rows.join(names.withColumnRenamed("name", "value"), "value", "left_anti")
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for e, f, n in zip(b["name"], b["forms"], b["n"]):
+                d = Dictionary([(e, list(f))], verbs=verbs)
+                out += [(k, e, f, n) for k in {*d.keys(), *(f"w{w}" for w in d.words)}]
+            yield pd.DataFrame(out, columns=["key", "name", "forms", "n"])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = Dictionary([], verbs=verbs)
+        for b in batches:
+            out = []
+            for v in b["value"]:
+                wanted, words = d.keys_of(v)
+                out += [(k, v) for k in wanted] + [(f"w{w}", v) for w in words]
+            yield pd.DataFrame(out, columns=["key", "value"])
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for v, near, words in zip(b["value"], b["near"], b["words"]):
+                d = Dictionary([(e["name"], list(e["forms"])) for e in near], {e["name"]: e["n"] for e in near}, verbs, largest=1 << 62)
+                d.words |= set(words)
+                out.append(d.find(v))
+            yield pd.DataFrame({"value": b["value"], "canonical": out})
+
+    table = listed.mapInPandas(index, "key string, name string, forms array<string>, n long")
+    known = table.where("key like 'w%'").select("key").distinct()
+    asked = free.select("value").distinct().mapInPandas(ask, "key string, value string")
+    words = asked.where("key like 'w%'").join(known, "key").groupBy("value").agg(F.collect_set(F.substr("key", F.lit(2))).alias("words"))
+    near = asked.where("key not like 'w%'").join(table.where("key not like 'w%'"), "key").groupBy("value").agg(F.collect_set(F.struct("name", "forms", "n")).alias("near"))
+    both = near.join(words, "value", "left").select("value", "near", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    found = both.mapInPandas(answer, "value string, canonical string")
+    out = spread_join(free, found, "value", F.hash(*[F.col(k) for k in keys]), "left", hot_keys(free, "value"))
+    return out.select(*keys, F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical")).distinct()

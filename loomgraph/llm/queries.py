@@ -70,15 +70,6 @@ SQL["p2_found"] = "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 120
 # 3: canonical values
 
 
-def _dictionary(table: DataFrame, name: str, forms: str, used: DataFrame, verbs: bool) -> canonical.Dictionary:
-    """The reference list with the number of values that are letter for letter an entry (at most one count per entry)."""
-    most = canonical.Dictionary.largest
-    entries = table.select(name, forms).distinct().orderBy(name).limit(most + 1).collect()
-    names = [r[0] for r in entries if r[0] is not None]
-    counts = used.where(F.col("value").isin(names)).groupBy("value").count().collect() if names else []
-    return canonical.Dictionary([(r[0], [f for f in r[1] or [] if f]) for r in entries if r[0] is not None], {r[0]: r[1] for r in counts}, verbs)
-
-
 def _entity_values(spark: SparkSession, folder: str) -> DataFrame:
     chunks = load(spark, folder, "chunks").select("chunk_id", F.posexplode("entities").alias("pos", "e"))
     return chunks.where("e.label is null or e.label not in ('variable', 'equation')").select(F.col("chunk_id").alias("record_id"), "pos", F.col("e.normalized_text").alias("value"))
@@ -88,13 +79,11 @@ def _entity_values(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     relations = load(spark, folder, "llm_relations").select(F.col("relation_id").cast("string").alias("record_id"), F.lit(0).alias("pos"), F.col("relation").alias("value"))
     entities = _entity_values(spark, folder)
-    kinds = _dictionary(load(spark, folder, "relation_types"), "relation", "phrases", relations, verbs=True)
-    names = _dictionary(load(spark, folder, "entity_catalog"), "name", "aliases", entities, verbs=False)
     found = [
-        canonical.canonical_values(v, ["record_id", "pos"], "value", d).select(F.lit(n).alias("field_name"), "record_id", "pos", "canonical")
-        for n, v, d in (("relation", relations, kinds), ("entity", entities, names))
+        canonical.mapped(relations, ["record_id", "pos"], "value", load(spark, folder, "relation_types"), "relation", "phrases", verbs=True).withColumn("field_name", F.lit("relation")),
+        canonical.mapped(entities, ["record_id", "pos"], "value", load(spark, folder, "entity_catalog"), "name", "aliases").withColumn("field_name", F.lit("entity")),
     ]
-    return found[0].unionByName(found[1])
+    return found[0].unionByName(found[1]).select("field_name", "record_id", "pos", "canonical")
 
 
 @query

@@ -88,6 +88,25 @@ def test_canonical(spark):
         canonical.Dictionary([(f"n{k}", []) for k in range(30)], largest=20)
 
 
+def test_a_long_list_is_joined(spark):
+    entries = [("staged residue classifier", ["tamrix measure"]), ("oblique kernel transform", []), ("latent signal penalty", ["drst-898", None]), ("folded residue walker", None), ("folded residual walker", []), (None, ["x"])]
+    listed = spark.createDataFrame([(*e, 1) for e in entries], "name string, forms array<string>, n int")
+    typed = ["StagedResidueClassifier", "classifier, staged residue", "staegd residue clasifier", "stag. resid. class.", " Tamrix  measure", "the oblique kernel transforms", "DRST-898", "drst-899", "staged kernel classifier", "folded residue wlker", "x" * 500, "—", "ab", "latent residue penalty", "a" * 300 + " latent signal penalty"]
+    rows = [(k, v) for k, v in enumerate(typed)] + [(50, "folded residual walker")] * 3 + [(51, None), (52, "  "), (0, typed[0])]
+    values = spark.createDataFrame(rows, "k int, v string")
+    short = {(r.k, r.canonical) for r in canonical.mapped(values, ["k"], "v", listed, "name", "forms").collect()}
+    long = canonical.mapped(values, ["k"], "v", listed, "name", "forms", largest=3).collect()
+    assert {(r.k, r.canonical) for r in long} == short and len(long) == len(typed)
+    got = dict(short)
+    assert got[9] == "folded residual walker" or got[9] == "folded residue walker"
+    assert [got[k] for k in (0, 3, 4, 6)] == ["staged residue classifier"] * 3 + ["latent signal penalty"] and got[7] == got[10] == "UNMATCHED"
+    verbs = spark.createDataFrame([("causes", ["gives rise to"]), ("splits_into", None)], "name string, forms array<string>")
+    said = spark.createDataFrame([(0, "caused"), (1, "splitting into"), (2, "givs rise to"), (3, "brings")], "k int, v string")
+    a, b = ({(r.k, r.canonical) for r in canonical.mapped(said, ["k"], "v", verbs, "name", "forms", verbs=True, largest=n).collect()} for n in (100, 1))
+    assert a == b == {(0, "causes"), (1, "splits_into"), (2, "causes"), (3, "UNMATCHED")}
+    assert {r.canonical for r in canonical.mapped(values, ["k"], "v", listed.where("false"), "name", "forms").collect()} == {"UNMATCHED"}
+
+
 def test_edit_distance():
     assert canonical.edits("abcd", "abcd", 2) == 0 and canonical.edits("abcd", "abdc", 2) == 0.8
     assert canonical.edits("abcd", "xyzd", 2) == float("inf") and canonical.edits("kitten", "sittin", 2) == 2
