@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.encoding import TOKENIZERS, token_counts
 from loomgraph.runtime import materialize
 
-#: Rows of a source that are numbered in one task.
-RUN = 20_000
+#: Rows of a source that are numbered in one task, and blocks that are scheduled in one.
+RUN, FRAME = 20_000, 50_000
 
 
 def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
@@ -38,6 +40,40 @@ def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def frames(blocks: dict[str, int], frame: int = FRAME) -> list[tuple[int, dict[str, int], dict[str, int]]]:
+    """(first slot, blocks served before, blocks to serve) of each run of at most ``frame`` slots: at its end every source has
+    its weight of the slots, rounded down or up."""
+    total = sum(blocks.values())
+    before = dict.fromkeys(blocks, 0)
+    out = []
+    for start in range(0, total, frame):
+        end = min(start + frame, total)
+        done = {s: max(before[s], n * end // total) for s, n in blocks.items()}
+        ahead = sorted(blocks, key=lambda s: (Fraction(blocks[s] * end, total) - done[s], s), reverse=True)
+        rest = end - sum(done.values())
+        for s in ahead[:rest] if rest > 0 else [s for s in reversed(ahead) if done[s] > before[s]][:-rest]:
+            done[s] += 1 if rest > 0 else -1
+        out.append((start, before, {s: done[s] - before[s] for s in blocks}))
+        before = done
+    return out
+
+
+def schedule(spark: SparkSession, blocks: dict[str, int], frame: int = FRAME) -> DataFrame:
+    """(source, block_no, slot) of all blocks, by ``pfair`` within each frame; frames are scheduled by the executors."""
+    listed = list(blocks)
+    rows = [(start, [before[s] for s in listed], [own[s] for s in listed]) for start, before, own in frames(blocks, frame)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start, before, own in zip(b["start"], b["before"], b["own"]):
+                base = dict(zip(listed, before))
+                out = pfair({s: int(n) for s, n in zip(listed, own)})
+                yield pd.DataFrame({"source": [s for s, _ in out], "block_no": [base[s] + j for s, j in out], "slot": range(start, start + len(out))})
+
+    table = spark.createDataFrame(rows, "start long, before array<long>, own array<long>")
+    return table.repartition(max(1, min(len(rows), 10_000))).mapInPandas(run, "source string, block_no long, slot long")
+
+
 def sized(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, folder: str, name: str) -> DataFrame:
     """(key, source, n_tokens) of the targets' documents, repeated rows once."""
     wanted = F.broadcast(targets.select("source").distinct())
@@ -46,15 +82,16 @@ def sized(documents: DataFrame, targets: DataFrame, key: str, text: str, source:
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, key: str, text: str = "text", source: str = "source", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", most_blocks: int = 50_000, most_sources: int = 10_000, seed: int = 1
+    documents: DataFrame, targets: DataFrame, key: str, text: str = "text", source: str = "source", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", block_tokens: int = 4096, most_sources: int = 10_000, seed: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares): the documents in the order of the mixture, and what was reached.
 
     The total is the size in tokens of all documents of the listed sources; each source fills its target_share of it,
     with its documents in a random but fixed order, again from the start up to max_repeats times. A source too small
     for that gives all it may; the others are not stretched to make up for it. Each source's stream is cut into blocks of
-    equal size (the total over ``most_blocks``) and Pfair scheduling interleaves them, so that every prefix of the
-    mixture has each source within one block, and its largest document, of its weight. The schedule depends on the number of blocks only.
+    ``block_tokens`` tokens and Pfair scheduling interleaves them, so that every prefix of the mixture has each source
+    within one block (two, beyond FRAME blocks), and its largest document, of its weight. The schedule depends on the
+    numbers of blocks only; it is made frame by frame on the executors.
 
     Documents are numbered by two-level prefix sums over hash ranges of at most about RUN rows, so no source is
     gathered in one task. Targets are few (checked: at most ``most_sources``), and broadcast.
@@ -84,10 +121,9 @@ def mix(
         tokens, count = have.get(s, (0, 0))
         quota = min(round(Fraction(share) * total), tokens * repeats)
         plan[s] = (quota, tokens, repeats, -(-count // RUN) or 1)
-    used = sum(q for q, *_ in plan.values())
-    block = max(1, -(-used // most_blocks))
+    block = max(1, block_tokens)
     counts = {s: -(-q // block) for s, (q, *_) in plan.items() if q > 0}
-    order = spark.createDataFrame([(s, j, k) for k, (s, j) in enumerate(pfair(counts))], "source string, block_no long, slot long")
+    order = schedule(spark, counts)
     limits = F.broadcast(spark.createDataFrame([(s, q, t, n, counts.get(s, 0), -(-q // t) if t else 0) for s, (q, t, _, n) in plan.items()], "source string, quota long, tokens long, runs long, blocks long, passes long"))
 
     # place of every document in its source: the run's offset and the sum within the run
@@ -101,7 +137,7 @@ def mix(
     copies = start.where("passes > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1))).withColumn("place", F.col("start") + F.col("repeat_no") * F.col("tokens"))
     # a document belongs to the quota when its middle does
     taken = copies.where(F.col("place") * 2 + F.col("n_tokens") <= F.col("quota") * 2).withColumn("block_no", F.least(F.floor(F.col("place") / block), F.col("blocks") - 1))
-    mixture = taken.join(F.broadcast(order), ["source", "block_no"]).select(F.col("doc").alias(key), "source", F.col("repeat_no").cast("int").alias("repeat_no"), "slot", "place", "n_tokens")
+    mixture = taken.join(order, ["source", "block_no"]).select(F.col("doc").alias(key), "source", F.col("repeat_no").cast("int").alias("repeat_no"), "slot", "place", "n_tokens")
 
     got = mixture.groupBy("source", key).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).groupBy("source").agg(F.sum("t").alias("mixed"), F.count("*").alias("documents"), F.sum("n").alias("copies"), F.max("n").alias("most"))
     wish = spark.createDataFrame([(s, float(wanted[s][0]), round(Fraction(wanted[s][0]) * total), plan[s][1] * plan[s][2]) for s in wanted], "source string, target_share double, target_tokens long, available_tokens long")

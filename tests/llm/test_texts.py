@@ -124,26 +124,40 @@ def test_pfair_never_lags_a_block():
     assert mixing.pfair({}) == []
 
 
+def test_frames_join_up(spark):
+    blocks = {"a": 503, "b": 301, "c": 190, "d": 3, "e": 0}
+    total = sum(blocks.values())
+    rows = mixing.schedule(spark, blocks, frame=70).orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(total)) and len({(r.source, r.block_no) for r in rows}) == total
+    seen = dict.fromkeys(blocks, 0)
+    for t, r in enumerate(rows, 1):
+        assert seen[r.source] == r.block_no
+        seen[r.source] += 1
+        assert all(abs(seen[x] - t * blocks[x] / total) < 2 for x in blocks)
+    assert [(r.source, r.block_no) for r in mixing.schedule(spark, blocks).orderBy("slot").collect()] == mixing.pfair(blocks)
+    assert mixing.schedule(spark, {}).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " word" * rng.randint(5, 30), "big") for i in range(300)] + [(1000 + i, " word" * 20, "small") for i in range(5)] + [(2000, None, "big"), (2001, "", "small"), (2002, " word", None), (2003, " word", "other"), (0, None, None)]
     rows.append(rows[1])
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, n_tokens int")
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 4), ("lost", 0.1, None), ("bad", None, 1), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
-    mixture, shares = mixing.mix(docs, targets, "doc_id", most_blocks=100)
+    mixture, shares = mixing.mix(docs, targets, "doc_id", block_tokens=60)
     got = mixture.orderBy("slot", "place").collect()
     s = {r.source: r for r in shares.collect()}
     assert set(s) == {"big", "small", "lost"} and s["lost"].mixed_tokens == 0
     assert s["small"].mixed_tokens == 5 * 20 * 4 and s["small"].most_copies == 4 and s["big"].most_copies == 1
     assert abs(s["big"].reached_share - 0.5) < 0.01 and s["big"].documents == len({r.doc_id for r in got if r.source == "big"})
     done, total = {"big": 0, "small": 0}, sum(r.n_tokens for r in got)
-    block = -(-total // 100)
+    block = 60
     for r in got:
         done[r.source] += r.n_tokens
         mixed = sum(done.values())
         for x in done:
             assert abs(done[x] - mixed * s[x].mixed_tokens / total) <= 2 * block + 31
-    again = mixing.mix(docs.repartition(7), targets, "doc_id", most_blocks=100)[0].orderBy("slot", "place").collect()
+    again = mixing.mix(docs.repartition(7), targets, "doc_id", block_tokens=60)[0].orderBy("slot", "place").collect()
     assert again == got
     empty = mixing.mix(docs.where("false"), targets, "doc_id")
     assert empty[0].count() == 0 and empty[1].count() == 3
