@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.encoding import TOKENIZERS, token_counts
@@ -74,19 +74,22 @@ def schedule(spark: SparkSession, blocks: dict[str, int], frame: int = FRAME) ->
     return table.repartition(max(1, min(len(rows), 10_000))).mapInPandas(run, "source string, block_no long, slot long")
 
 
-def sized(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, folder: str, name: str) -> DataFrame:
-    """(key, source, n_tokens) of the targets' documents, repeated rows once."""
+def sized(documents: DataFrame, targets: DataFrame, key: str, text: str, source: str, folder: str, name: str, size: Column | None = None) -> DataFrame:
+    """(key, source, n_tokens) of the targets' documents, repeated rows once; ``size`` stands for the number of tokens if given."""
     wanted = F.broadcast(targets.select("source").distinct())
-    docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col(source).alias("source")).join(wanted, "source").where("doc is not null")
+    given = F.lit(None).cast("long") if size is None else size.cast("long")
+    docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col(source).alias("source"), given.alias("n_tokens")).join(wanted, "source").where("doc is not null")
+    if size is not None:
+        return docs.select("doc", "source", "n_tokens").distinct().where("n_tokens > 0")
     return token_counts(docs, ["doc", "source"], "text", folder, name).distinct().where("n_tokens > 0")
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, key: str, text: str = "text", source: str = "source", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", block_tokens: int = 4096, most_sources: int = 10_000, seed: int = 1
+    documents: DataFrame, targets: DataFrame, key: str, text: str = "text", source: str = "source", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", block_tokens: int = 4096, most_sources: int = 10_000, seed: int = 1, size: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares): the documents in the order of the mixture, and what was reached.
 
-    The total is the size in tokens of all documents of the listed sources; each source fills its target_share of it,
+    The total is the size in tokens (or ``size``) of all documents of the listed sources; each source fills its target_share of it,
     with its documents in a random but fixed order, again from the start up to max_repeats times. A source too small
     for that gives all it may; the others are not stretched to make up for it. Each source's stream is cut into blocks of
     ``block_tokens`` tokens and Pfair scheduling interleaves them, so that every prefix of the mixture has each source
@@ -113,7 +116,7 @@ def mix(
     if len(wanted) < len(rows):
         raise ValueError("a source has two targets")
     listed = spark.createDataFrame([(s,) for s in wanted], "source string")
-    sizes = materialize(sized(documents, listed, key, text, source, folder, name))
+    sizes = materialize(sized(documents, listed, key, text, source, folder, name, size))
     have = {r[0]: (int(r[1]), int(r[2])) for r in sizes.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()}
     total = sum(t for t, _ in have.values())
     plan = {}

@@ -47,6 +47,19 @@ common AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM shingles
 """
 SQL["p1_found"] = _SHINGLES + "SELECT a AS chunk_a, b AS chunk_b FROM common JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9"
 
+
+
+@query
+def p1_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text's group, without the name of its class."""
+    return p1_groups(spark, folder).select("chunk_id", "group_id")
+
+
+SQL["p1_components"] = _SHINGLES + """, near AS (SELECT a, b FROM common JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
+both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT chunk_id AS a, chunk_id AS b FROM sizes UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b)
+SELECT a AS chunk_id, min(b) AS group_id FROM reach GROUP BY 1"""
+
 # 2: splitting
 
 
@@ -64,6 +77,17 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+@query
+def p2_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text put together again from its pieces, as a hash, with the rules that the pieces keep."""
+    p = _pieces(spark, folder).select("chunk_id", F.struct("piece_no", "start", "piece").alias("p"))
+    all_ = p.groupBy("chunk_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.when(x.piece_no == 0, x.piece).otherwise(F.substr(x.piece, F.lit(101)))), "")
+    overlaps = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == F.size("p")) | (F.substr(F.get("p", i - 1).piece, F.lit(-100)) == F.substr(F.get("p", i).piece, F.lit(1), F.lit(100))))
+    return all_.select("chunk_id", F.md5(text).alias("text_md5"), F.forall("p", lambda x: F.length(x.piece) <= 1200).alias("short_enough"), overlaps.alias("overlaps"), (F.size("p") > 1).alias("cut"))
+
+
+SQL["p2_rebuilt"] = "SELECT DISTINCT chunk_id, md5(text) AS text_md5, true AS short_enough, true AS overlaps, length(text) > 1200 AS cut FROM chunks WHERE text IS NOT NULL"
 SQL["p2_found"] = "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1200"
 
 
@@ -100,6 +124,31 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(load(spark, folder, "chunks"), "chunk_id", "embeddings", k=5, dim=64).select("chunk_id", "neighbour_id")
 
 
+#: The queries of a search: ids whose first eight hexadecimal digits are a number divisible by 50.
+_ASKS = "conv(substr(chunk_id, 1, 8), 16, 10) % 50 = 0"
+
+
+@query
+def p5_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact neighbours of every 50th chunk, against all chunks."""
+    found = neighbours.exact_nearest(load(spark, folder, "chunks").select("chunk_id", "embeddings").distinct(), "chunk_id", "embeddings", F.expr(_ASKS))
+    return found.select("chunk_id", "neighbour_id", "cosine", "rank")
+
+
+SQL["p5_exact"] = """
+WITH v AS (SELECT DISTINCT chunk_id, embeddings AS v FROM chunks WHERE len(embeddings) = 64 AND len(list_filter(embeddings, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
+s AS (SELECT a.chunk_id, b.chunk_id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON a.chunk_id <> b.chunk_id WHERE ('0x' || substr(a.chunk_id, 1, 8))::BIGINT % 50 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY cosine DESC, neighbour_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query
+def p5_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the exact neighbours of every 50th chunk that p5_found has."""
+    want = p5_exact(spark, folder).select("chunk_id", "neighbour_id")
+    got = p5_found(spark, folder).where(_ASKS).withColumn("hit", F.lit(1))
+    return want.join(got, ["chunk_id", "neighbour_id"], "left").agg(F.count("*").alias("neighbours"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)).alias("recall"))
+
+
 # 6: top N
 
 
@@ -141,7 +190,13 @@ def p7_links(spark: SparkSession, folder: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-SQL["p7_found"] = """
+@query
+def p7_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    """p7_links without the name of the class."""
+    return p7_links(spark, folder).select("set_table", "record_id", "copies", "links")
+
+
+_SETS = """
 WITH lists AS (
   SELECT 'chunks' AS set_table, chunk_id AS id, unnest(list_transform(entities, lambda e: lower(trim(e.normalized_text, ' ')))) AS v FROM chunks
   UNION ALL SELECT 'chunk_edges', edge_id, unnest(list_transform(shared_entities, lambda e: lower(trim(e, ' ')))) FROM chunk_edges),
@@ -149,7 +204,11 @@ items AS (SELECT DISTINCT * FROM lists WHERE v IS NOT NULL),
 sizes AS (SELECT set_table, id, count(*) AS n FROM items GROUP BY 1, 2 HAVING count(*) >= 3),
 kept AS (SELECT i.*, n FROM items i JOIN sizes USING (set_table, id)),
 common AS (SELECT a.set_table, a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM kept a JOIN kept b ON a.set_table = b.set_table AND a.v = b.v AND a.id < b.id GROUP BY ALL)
-SELECT set_table, id_a, id_b FROM common WHERE c >= 0.6 * (na + nb - c) - 1e-9"""
+"""
+SQL["p7_found"] = _SETS + "SELECT set_table, id_a, id_b FROM common WHERE c >= 0.6 * (na + nb - c) - 1e-9"
+SQL["p7_degrees"] = _SETS + """, near AS (SELECT * FROM common WHERE c >= 0.6 * (na + nb - c) - 1e-9),
+ends AS (SELECT set_table, id_a AS id, c = na AND c = nb AS same FROM near UNION ALL SELECT set_table, id_b, c = na AND c = nb FROM near)
+SELECT s.set_table, s.id AS record_id, 1 + count(*) FILTER (same) AS copies, count(ends.id) AS links FROM sizes s LEFT JOIN ends ON ends.set_table = s.set_table AND ends.id = s.id GROUP BY 1, 2"""
 
 # 8: encoding
 
@@ -176,6 +235,22 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+@query
+def p9_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture by characters: what each source was to give and could, and whether it gave that within its largest document."""
+    d = load(spark, folder, "documents")
+    shares = mixing.mix(d, load(spark, folder, "mix_targets"), "doc_id", size=F.length("text"))[1]
+    most = d.groupBy("source").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("longest"))
+    t = shares.join(most, "source", "left").join(load(spark, folder, "mix_targets").select("source", "max_repeats").distinct(), "source")
+    gap = F.abs(F.col("mixed_tokens") - F.least("target_tokens", "available_tokens"))
+    return t.select("source", "target_tokens", "available_tokens", (gap <= F.coalesce("longest", F.lit(0))).alias("reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
+SQL["p9_by_length"] = """
+WITH d AS (SELECT DISTINCT doc_id, source, length(text) AS n FROM documents WHERE length(text) > 0 AND source IN (SELECT source FROM mix_targets)),
+own AS (SELECT source, sum(n) AS size FROM d GROUP BY 1)
+SELECT source, round(target_share * (SELECT sum(n) FROM d))::BIGINT AS target_tokens, (coalesce(size, 0) * max_repeats)::BIGINT AS available_tokens, true AS reached, true AS within_repeats FROM (SELECT DISTINCT * FROM mix_targets) LEFT JOIN own USING (source)"""
+
 # 10: reading level
 
 

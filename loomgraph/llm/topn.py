@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.runtime import materialize
+
 #: A histogram cell is one of BINS score ranges, split SPLIT ways by a hash of the tie key.
 BINS, SPLIT = 256, 16
 
@@ -26,7 +28,7 @@ def top_n(items: DataFrame, group: str, score: str, tie: str, n: int = 5, least_
     """
     rows = items.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(tie).alias("t")).where("g is not null and s is not null and not isnan(s) and t is not null")
     by = [F.col("s").desc(), F.col("t").asc()]
-    sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")))
     total = sizes.agg(F.sum("c")).first()[0] or 0
     least = max(least_rows, total // most_groups)
     kept = rows
