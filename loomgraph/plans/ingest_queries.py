@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import hashing as H
 from loomgraph.functions import text as T
-from loomgraph.operators import audio, chunking
+from loomgraph.operators import audio, chunking, knowledge
 from loomgraph.operators import questions as B
 from loomgraph.operators import state as M
 from loomgraph.operators import topics as W
 from loomgraph.operators import validation as V
 from loomgraph.plans import common as K
 from loomgraph.sources.schemas import RELATION_NAMES
-from loomgraph.sources.tables import load
+from loomgraph.sources.tables import apply_synonyms, load
 
 query = K.Catalogue()
 QUERIES, SQL = query.queries, query.sql
@@ -90,6 +90,66 @@ def text_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.embed(K.documents(spark, folder), "doc_id", "text")
 
 
+# the offline build
+
+
+def _built(spark: SparkSession, folder: str) -> knowledge.Knowledge:
+    """Documents as pages: their text in a page's body."""
+    d = K.documents(spark, folder)
+    text = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    html = F.concat(F.lit("<html><body><div class='toc'>contents</div><p>"), text, F.lit("</p></body></html>"))
+    pages = d.select(F.col("doc_id").alias("page_id"), "topic_id", F.col("source").alias("source_id"), html.alias("html"))
+    return knowledge.build(pages, load(spark, folder, "entity_catalog"), load(spark, folder, "relation_types"))
+
+
+@query()
+def ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _built(spark, folder).chunks.select("chunk_id", "document_id", "source_id", "text", F.size("entities").alias("entities"))
+
+
+@query()
+def ingest_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return _built(spark, folder).relations
+
+
+@query()
+def ingest_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _built(spark, folder).chunk_edges
+
+
+@query(f"WITH {K.D} SELECT doc_id::VARCHAR AS item, 'page' AS stage, 'no readable text' AS reason FROM d WHERE text IS NULL OR {_normal('text')} = ''")
+def ingest_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    return _built(spark, folder).rejected
+
+
+@query(
+    f"""WITH {K.C}, s AS (SELECT DISTINCT a AS synonym, name FROM (SELECT unnest(aliases) AS a, name FROM entity_catalog)), x AS (SELECT chunk_id, unnest(list_transform(entities, lambda e: e.normalized_text)) AS name FROM c)
+SELECT chunk_id, coalesce(s.name, x.name) AS entity, count(*) AS n FROM x LEFT JOIN s ON s.synonym = x.name WHERE x.name IS NOT NULL GROUP BY 1, 2"""
+)
+def synonym_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Aliases become their catalogue names, through the plural list (empty here) and the synonym list."""
+    s = load(spark, folder, "entity_catalog").select(F.explode("aliases").alias("synonym"), F.col("name").alias("canonical")).distinct()
+    x = K.chunks(spark, folder).select("chunk_id", F.explode("entities.normalized_text").alias("name")).where("name is not null")
+    return apply_synonyms(F.col("name"), x, s.where("false"), s, into="entity").groupBy("chunk_id", "entity").agg(F.count("*").alias("n"))
+
+
+@query(
+    rf"""WITH {K.C}, p AS (SELECT chunk_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\[\d+\]', '', 'g'), '\s*\n\s*|([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) > 10) AS s FROM c WHERE text IS NOT NULL)
+SELECT chunk_id, len(s) AS sentences, coalesce(s[1], '') AS first, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM p"""
+)
+def sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of more than 10 characters, citations left out."""
+    s = K.chunks(spark, folder).where("text is not null").select("chunk_id", T.split_sentences(T.strip_citations(F.col("text"))).alias("s"))
+    return s.select("chunk_id", F.size("s").alias("sentences"), F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("first"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).alias("longest"))
+
+
+@query("SELECT DISTINCT id, concat_ws(', ', CASE WHEN len(tags) BETWEEN 2 AND 6 THEN NULL ELSE 'tags of 2 to 6' END) AS broken FROM topics")
+def array_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return V.judge(load(spark, folder, "topics").distinct(), [V.sized("tags", 2, 6)]).select("id", F.array_join("broken", ", ").alias("broken"))
+
+
 # integrity
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import runtime
 from loomgraph.operators import graph as G
+from loomgraph.operators import knowledge
 from loomgraph.operators import questions as B
 from loomgraph.operators import references as R
 from loomgraph.operators import relations as L
@@ -121,6 +122,30 @@ def test_packet_and_rendered_context(spark, tmp_path):
     assert packet["t"].supporting_chunks == "Text one. | Text two." and packet["t"].concept_paths_2_hop == "\n".join(two) and packet["u"].core_concepts == "a | b | d"
 
 
+def test_pages_to_knowledge(spark):
+    page = lambda t: f"<html><body><div class='toc'>x</div><p>{t}</p></body></html>"
+    rows = [(1, "t", "s", page("Adam builds upon SGD. Adam needs momentum.")), (2, "t", "s", page("SGD and Adam differ much here.")), (3, "u", "s", "<p>no root</p>"), (4, "u", None, None), (5, "u", "s", page("Nothing said.")), (1, "t", "s", page("Adam builds upon SGD. Adam needs momentum."))]
+    pages = spark.createDataFrame(rows, "page_id long, topic_id string, source_id string, html string")
+    catalog = spark.createDataFrame([(1, "adam", "m", None), (2, "sgd", "m", ["sgd method"]), (3, "momentum", "m", None)], "entity_no int, name string, label string, aliases array<string>")
+    verbs = spark.createDataFrame([("extends", ["builds upon"])], "relation string, phrases array<string>")
+    k = knowledge.build(pages, catalog, verbs)
+    chunks = {r.text: r for r in k.chunks.collect()}
+    assert set(chunks) == {"Adam builds upon SGD. Adam needs momentum.", "SGD and Adam differ much here.", "Nothing said."} and all(len(r.embeddings) == 64 for r in chunks.values())
+    got = sorted((r.source, r.relation, r.target, r.edge_type) for r in k.relations.collect())
+    assert got == [("adam", "co_occurs", "momentum", "contextual"), ("adam", "co_occurs", "sgd", "contextual"), ("adam", "extends", "sgd", "semantic")]
+    edges = k.chunk_edges.collect()
+    assert len(edges) == 1 and edges[0].shared_entities == ["adam", "sgd"]
+    assert sorted((r.item, r.stage) for r in k.rejected.collect()) == [("3", "page"), ("4", "page")]
+    assert {r.chunk_id for r in knowledge.build(pages.repartition(3), catalog, verbs).chunks.collect()} == {r.chunk_id for r in chunks.values()}
+
+    def broken(c, catalog):  # an extractor that fails on one chunk
+        return L.extract_entities(c, catalog).withColumn("score", F.when(F.col("normalized_text") == "momentum", 7.0).otherwise(F.col("score")))
+
+    k = knowledge.build(pages, catalog, verbs, knowledge.Providers(entities=broken))
+    assert k.chunks.count() == 2 and [r.reason for r in k.rejected.where("stage = 'chunk'").collect()] == ["entity score in [0, 1]"]
+    assert knowledge.build(pages.where("false"), catalog, verbs).chunk_edges.count() == 0
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 3), (7, 6), (7, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a int, b int"), "a", "b").collect()}
