@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +42,33 @@ def chunk_json(row: dict[str, Column] | None = None) -> Column:
 def source_hashes(chunks: DataFrame) -> DataFrame:
     """(document_id, source_id, source_hash): SHA-256 of the chunks' canonical JSON, sorted by chunk_id.
 
-    Independent of row order; repeated rows count once. Chunks are reduced to their JSON text before the shuffle.
+    Independent of row order; repeated rows count once. Chunks are reduced to their JSON text before the shuffle, and a
+    source's sorted texts are hashed as they stream by, so a source of any size is never held as a whole.
     """
     texts = chunks.select("document_id", "source_id", "chunk_id", chunk_json().alias("j")).distinct()
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "j"))), lambda x: x.j)
-    return texts.groupBy("document_id", "source_id").agg(F.sha2(json_array(listed), 256).alias("source_hash"))
+    kind = {c: chunks.schema[c].dataType.simpleString() for c in ("document_id", "source_id")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, digest = None, None
+        for b in batches:
+            done = []
+            for d, s, j in zip(b["document_id"], b["source_id"], b["j"]):
+                if digest is None or (d, s) != at:
+                    if digest is not None:
+                        digest.update(b"]")
+                        done.append((*at, digest.hexdigest()))
+                    at, digest = (d, s), hashlib.sha256(b"[")
+                else:
+                    digest.update(b",")
+                digest.update(j.encode("utf-8", "surrogatepass"))
+            if done:
+                yield pd.DataFrame(done, columns=["document_id", "source_id", "source_hash"])
+        if digest is not None:
+            digest.update(b"]")
+            yield pd.DataFrame([(*at, digest.hexdigest())], columns=["document_id", "source_id", "source_hash"])
+
+    ordered = texts.repartition("document_id", "source_id").sortWithinPartitions("document_id", "source_id", "chunk_id", "j")
+    return ordered.mapInPandas(run, f"document_id {kind['document_id']}, source_id {kind['source_id']}, source_hash string")
 
 
 def knowledge_hashes(topics: DataFrame, sources: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -32,11 +32,16 @@ def conversation_context(sessions: DataFrame, episodic: DataFrame, procedural: D
 
 
 def retain_messages(messages: DataFrame, key: str, order: list, more_than: int = 30, keep: int = 5) -> DataFrame:
-    """The last ``keep`` messages of sequences longer than ``more_than``; shorter ones whole. Adds message_no from the end."""
+    """The last ``keep`` messages of sequences longer than ``more_than``; shorter ones whole. Adds message_no from the end.
+
+    Long sequences are cut by their rank, which Catalyst also applies before the shuffle, so none is sorted whole in one task.
+    Null keys are no sequences.
+    """
+    known = messages.where(F.col(key).isNotNull())
+    long = known.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > more_than).select(key)
     n = F.row_number().over(Window.partitionBy(key).orderBy(*[c.desc() for c in order]))
-    size = messages.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_size"))
-    numbered = messages.withColumn("message_no", n).join(size, F.col(key) == F.col("_k"))
-    return numbered.where((F.col("_size") <= more_than) | (F.col("message_no") <= keep)).drop("_k", "_size")
+    ends = known.join(long, key, "left_semi").withColumn("message_no", n).where(F.col("message_no") <= keep)
+    return known.join(long, key, "left_anti").withColumn("message_no", n).unionByName(ends)
 
 
 def plan_actions(states: DataFrame, sessions: DataFrame, on: str) -> DataFrame:
