@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,12 +49,13 @@ def latest_bank(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return rows.withColumn("_r", F.rank().over(by)).where("_r = 1").drop("_r")
 
 
-def template_questions(paths: DataFrame, topic: str, difficulty: str) -> DataFrame:
-    """A question per path, from its first and last concept (a stand-in for a language model). The id is the content's hash."""
+def template_questions(paths: DataFrame, topic: str | Column, difficulty: str) -> DataFrame:
+    """A question per path of a topic (a name, or a column of the paths), from its first and last concept (a stand-in for a language model). The id is the content's hash."""
     ends = F.split("nodes", " > ")
     first, last = F.get(ends, F.lit(0)), F.element_at(ends, -1)
+    topic = F.lit(topic) if isinstance(topic, str) else topic
     text = F.concat(F.lit("How does "), first, F.lit(" relate to "), last, F.lit("?"))
-    return paths.select(F.lit(topic).alias("topic"), F.lit(difficulty).alias("difficulty"), F.sha2(F.concat_ws("\x01", F.lit(topic), F.lit(difficulty), "nodes"), 256).alias("question_id"), text.alias("question"), first.alias("primary_concept"))
+    return paths.select(topic.alias("topic"), F.lit(difficulty).alias("difficulty"), F.sha2(F.concat_ws("\x01", topic, F.lit(difficulty), "nodes"), 256).alias("question_id"), text.alias("question"), first.alias("primary_concept"))
 
 
 def fetch_or_generate(bank: DataFrame, generate) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import rendering as X
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
+from loomgraph.operators import questions as B
 from loomgraph.operators import relations as R
 from loomgraph.plans import common as K
 from loomgraph.sources.tables import load
@@ -82,7 +83,7 @@ def entity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return G.top_neighbours(G.undirected(load(spark, folder, "entity_edges"))).select("node", "neighbour", "weight", "neighbour_rank")
 
 
-def _path_sql(hops: int, strong: int, weak: int) -> str:
+def path_sql(hops: int, strong: int, weak: int) -> str:
     sql = "WITH " + K.UNDIRECTED.format(fan="neighbour_rank") + ", h1 AS (SELECT node AS entity, neighbour AS last, weight AS score, semantic AS sem, [node, neighbour] AS nodes FROM near WHERE weight >= 0.2)"
     for h in range(2, hops + 1):
         sql += f", h{h} AS (SELECT entity, neighbour AS last, score * weight AS score, sem AND semantic AS sem, list_append(nodes, neighbour) AS nodes FROM h{h - 1} JOIN near ON node = last WHERE NOT list_contains(nodes, neighbour) AND score * weight >= 0.2)"
@@ -90,12 +91,12 @@ def _path_sql(hops: int, strong: int, weak: int) -> str:
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, quality ORDER BY path_score DESC, nodes) AS path_rank FROM p) WHERE path_rank <= CASE WHEN quality = 'strong' THEN {strong} ELSE {weak} END"""
 
 
-@query(_path_sql(2, 5, 3))
+@query(path_sql(2, 5, 3))
 def paths_2hop(spark: SparkSession, folder: str) -> DataFrame:
     return G.paths(G.undirected(load(spark, folder, "entity_edges")), 2, strong=5, weak=3).drop("path")
 
 
-@query(_path_sql(3, 3, 2))
+@query(path_sql(3, 3, 2))
 def paths_3hop(spark: SparkSession, folder: str) -> DataFrame:
     return G.paths(G.undirected(load(spark, folder, "entity_edges")), 3, strong=3, weak=2).drop("path")
 
@@ -199,6 +200,28 @@ def rendered_context(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("topic_id", "difficulty", text.alias("context"))
 
 
+_RANKED = "(SELECT *, row_number() OVER (PARTITION BY t, entity, quality ORDER BY path_score DESC, nodes) AS path_rank FROM {q}) WHERE path_rank <= CASE WHEN quality = 'strong' THEN {strong} ELSE {weak} END"
+
+
+@query(
+    _PACKET
+    + f""", asked AS (SELECT t AS topic, 'easy' AS difficulty, name AS nodes, 'What is ' || name || '?' AS question, name AS primary_concept FROM nm
+  UNION ALL SELECT t, 'medium', nodes, 'How does ' || entity || ' relate to ' || last || '?', entity FROM (SELECT *, string_split(nodes, ' > ')[-1] AS last FROM {_RANKED.format(q="q2", strong=5, weak=3)})
+  UNION ALL SELECT t, 'hard', nodes, 'How does ' || entity || ' relate to ' || last || '?', entity FROM (SELECT *, string_split(nodes, ' > ')[-1] AS last FROM {_RANKED.format(q="q3", strong=3, weak=2)}))
+SELECT topic, difficulty, sha256(concat_ws(chr(1), topic, difficulty, nodes)) AS question_id, question, primary_concept FROM asked"""
+)
+def question_bank(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of every topic and difficulty: its concepts, its best paths of two edges, and of three."""
+    p = _packets(spark, folder)
+    easy = p.select(F.col("topic_id").alias("topic"), F.explode("core_concepts").alias("name"))
+    out = easy.select("topic", F.lit("easy").alias("difficulty"), F.sha2(F.concat_ws("\x01", "topic", F.lit("easy"), "name"), 256).alias("question_id"), F.concat(F.lit("What is "), "name", F.lit("?")).alias("question"), F.col("name").alias("primary_concept"))
+    for difficulty, hops in (("medium", "2_hop"), ("hard", "3_hop")):
+        walks = p.select(F.col("topic_id").alias("topic"), F.explode(F.col("concept_paths")[hops]["path"]).alias("w"))
+        nodes = F.array_join(F.concat(F.array(F.get("w", F.lit(0))["source"]), F.transform("w", lambda e: e.target)), " > ")
+        out = out.unionByName(B.template_questions(walks.select("topic", nodes.alias("nodes")), F.col("topic"), difficulty))
+    return out
+
+
 _LETTER = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
 _OTHER = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
 _IN_SENTENCE = rf"""WITH {K.C}, parts AS (SELECT chunk_id, entities, list_filter(list_transform(string_split(regexp_replace(text, '\s*\n\s*|([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS p FROM c WHERE text IS NOT NULL),

@@ -13,6 +13,7 @@ from loomgraph.operators import state as M
 from loomgraph.operators import topics as W
 from loomgraph.operators import validation as V
 from loomgraph.plans import common as K
+from loomgraph.plans.graph_queries import path_sql
 from loomgraph.sources.schemas import RELATION_NAMES
 from loomgraph.sources.tables import apply_synonyms, load
 
@@ -214,6 +215,14 @@ def latest_bank(spark: SparkSession, folder: str) -> DataFrame:
     return B.latest_bank(d, ["topic_id", "lang"], "version").select("doc_id")
 
 
+@query(f"WITH {K.D}, h AS (SELECT topic_id AS topic, sha256(title) AS knowledge_hash, collected_at AS updated_at FROM d WHERE topic_id IS NOT NULL AND title IS NOT NULL AND collected_at IS NOT NULL) SELECT topic, max(struct_pack(u := updated_at, k := knowledge_hash)).k AS knowledge_hash FROM h GROUP BY 1")
+def latest_topic_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest of a topic's appended hashes; the titles' hashes stand for them."""
+    d = K.documents(spark, folder).where("topic_id is not null and title is not null and collected_at is not null")
+    rows = d.select(F.col("topic_id").alias("topic"), F.sha2("title", 256).alias("knowledge_hash"), F.col("collected_at").alias("updated_at"))
+    return B.latest(rows, ["topic"], [F.col("updated_at"), F.col("knowledge_hash")]).select("topic", "knowledge_hash")
+
+
 # question bank
 
 _BUCKETS = """WITH n AS (SELECT source AS node, target AS other FROM entity_edges UNION SELECT target, source FROM entity_edges),
@@ -228,7 +237,10 @@ def concept_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return B.add_buckets(catalog.select(F.col("name").alias("primary_concept")).distinct(), buckets).select("primary_concept", "bucket_name")
 
 
-@query()
+@query(
+    f"""SELECT 'all' AS topic, 'medium' AS difficulty, sha256(concat_ws(chr(1), 'all', 'medium', nodes)) AS question_id, 'How does ' || string_split(nodes, ' > ')[1] || ' relate to ' || string_split(nodes, ' > ')[-1] || '?' AS question, string_split(nodes, ' > ')[1] AS primary_concept
+FROM ({path_sql(2, 5, 3)})"""
+)
 def generated_questions(spark: SparkSession, folder: str) -> DataFrame:
     from loomgraph.operators import graph as G
 
@@ -306,6 +318,22 @@ def audio_stats(spark: SparkSession, folder: str) -> DataFrame:
     return audio.audio_stats(load(spark, folder, "events"), "event_type", "value")
 
 
+@query(
+    """WITH e AS (SELECT *, user_id::VARCHAR || ':' || strftime(ts, '%Y-%m-%d') AS interview_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+u AS (SELECT user_id, min(ts)::VARCHAR AS started_at FROM e GROUP BY 1), p AS (SELECT user_id, count(*) AS purchases FROM e WHERE event_type = 'purchase' GROUP BY 1)
+SELECT interview_id, user_id, count(*) AS events, started_at, coalesce(any_value(purchases), -1) AS purchases, string_agg(event_type, ' ' ORDER BY event_id) AS messages FROM e JOIN u USING (user_id) LEFT JOIN p USING (user_id) GROUP BY 1, 2, 4"""
+)
+def conversation_context(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's events of a day as a conversation, with the memories of the user."""
+    e = load(spark, folder, "events").where("user_id is not null and ts is not null").withColumn("interview_id", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    sessions = e.groupBy("interview_id", "user_id").agg(F.count("*").alias("events"))
+    episodic = e.groupBy("user_id").agg(F.min("ts").cast("string").alias("started_at"))
+    procedural = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("purchases"))
+    messages = e.select("interview_id", F.col("event_id").alias("turn_id"), F.col("event_type").alias("role"), F.col("value").cast("string").alias("content"))
+    c = M.conversation_context(sessions, episodic, procedural, messages)
+    return c.select("interview_id", "user_id", "session.events", "episodic.started_at", F.coalesce("procedural.purchases", F.lit(-1)).alias("purchases"), F.array_join("messages.role", " ").alias("messages"))
+
+
 _SKILL = "CASE WHEN event_type = 'click' THEN 'hint' WHEN event_type = 'view' THEN 'ask' ELSE event_type END"
 
 
