@@ -25,7 +25,7 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
             at = _nearest(ends, middle)
             if at is not None and lo < at < hi and abs(at - middle) <= quarter:
                 return at
-        return _whole(text, (lo + hi) // 2)
+        return _whole(text, (lo + hi) // 2, int(lo + quarter))
 
     out, todo = [], [(0, len(text))]
     while todo:
@@ -47,11 +47,11 @@ def _nearest(ends: list[int], middle: float) -> int | None:
     return min(near, key=lambda e: abs(e - middle)) if near else None
 
 
-def _whole(text: str, at: int) -> int:
-    """Moves a forced cut off the inside of a combining sequence where one is short."""
+def _whole(text: str, at: int, least: int) -> int:
+    """Moves a forced cut back off the inside of a combining sequence, unless that fills a quarter of the span."""
     import unicodedata
 
-    for k in range(8):
+    for k in range(at - least):
         if at - k > 0 and not unicodedata.combining(text[at - k]) and text[at - k] not in "‍️":
             return at - k
     return at

@@ -65,6 +65,14 @@ def test_splitting(spark):
         splitting.split_texts(spark.createDataFrame(rows, "k string, text string, piece string"), "k", overlap=600)
 
 
+def test_forced_cuts_spare_combining_sequences():
+    text = "e" * 590 + "e" + "\u0301" * 20 + "e" * 600
+    at = splitting.cuts(text, 700, 50)[0]
+    assert text[at] == "e"
+    only = "\u0301" * 3000
+    assert splitting.cuts(only, 1200, 100)[-1] == 3000
+
+
 def test_canonical(spark):
     entries = [("staged residue classifier", ["tamrix measure"]), ("oblique kernel transform", []), ("latent signal penalty", ["drst-898"]), ("folded residue walker", [])]
     d = canonical.Dictionary(entries, {"staged residue classifier": 5})
