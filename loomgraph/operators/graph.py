@@ -137,6 +137,29 @@ def topic_graph(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(end("source"), ["topic_id", "source"], "left_semi").join(end("target"), ["topic_id", "target"], "left_semi")
 
 
+def topic_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
+    """The chunks that have a topic: topic_id, chunk_id and the columns, text and entities if none are named."""
+    return chunks.where("document_id is not null").select(F.col("document_id").alias("topic_id"), "chunk_id", *(columns or ("text", "entities")))
+
+
+def topic_names(chunks: DataFrame) -> DataFrame:
+    """(topic_id, name): the distinct entities of each topic's chunks."""
+    return chunks.select("topic_id", F.explode("entities.normalized_text").alias("name")).where("name is not null").distinct()
+
+
+def topic_paths(graph: DataFrame) -> dict[str, DataFrame]:
+    """The best paths of two edges and of three in each topic's graph, written, as they are read several times."""
+    return {name: materialize(paths(graph, hops, strong=strong, weak=weak, per=("topic_id",))) for name, hops, strong, weak in (("2_hop", 2, 5, 3), ("3_hop", 3, 3, 2))}
+
+
+def topic_equations(chunks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(retrieved, related) as topic_id, source, target: the texts that mention each equation, and the co-occurring ends of
+    the topic's relations. A text comes from its own row, without a join; repeated rows may be there."""
+    known = chunks.select("topic_id", F.coalesce("text", F.lit("")).alias("source"), F.explode("entities").alias("e")).where("e.label = 'equation' and e.normalized_text is not null")
+    related = equation_links(chunks, edges.where("relation = 'co_occurs'").join(chunks.select("topic_id", "chunk_id"), "chunk_id"), ("topic_id",))[1]
+    return known.select("topic_id", "source", F.col("e.normalized_text").alias("target")), related.select("topic_id", F.coalesce("source", F.lit("")).alias("source"), "target")
+
+
 def topic_packets(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per topic: its distinct entities and chunk texts, the best paths in the graph of its own chunks and
     entities, its equations with the texts that mention them, and the co-occurring ends of its chunks' relations.
@@ -146,21 +169,20 @@ def topic_packets(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     Result: topic_id, core_concepts, supporting_chunks, concept_paths (2_hop, 3_hop), retrieved_equations, related_equations.
     """
     per = ("topic_id",)
-    c = materialize(chunks.where("document_id is not null").select(F.col("document_id").alias("topic_id"), "chunk_id", "text", "entities"))
+    c = materialize(topic_chunks(chunks))
     whole = c.select("topic_id").distinct()
     names = c.select("topic_id", F.explode("entities.normalized_text").alias("x"))
     texts = c.select("topic_id", F.col("text").alias("x"))
     for name, values in (("core_concepts", names), ("supporting_chunks", texts)):
         whole = whole.join(values.where("x is not null").distinct().groupBy("topic_id").agg(F.array_sort(F.collect_list("x")).alias(name)), "topic_id", "left")
     graph = materialize(undirected(topic_graph(c, edges), per))
-    for name, hops, strong, weak in (("2_hop", 2, 5, 3), ("3_hop", 3, 3, 2)):
-        steps = path_steps(materialize(paths(graph, hops, strong=strong, weak=weak, per=per)), graph, per)
+    for name, found in topic_paths(graph).items():
+        steps = path_steps(found, graph, per)
         listed = F.array_sort(F.collect_list(F.struct("entity", F.col("quality").alias("path_quality"), "path_rank", "path_score", "path")))
         whole = whole.join(steps.groupBy("topic_id").agg(listed.alias(name)), "topic_id", "left")
-    mentions, related = equation_links(c, edges.join(c.select("topic_id", "chunk_id").distinct(), "chunk_id"), per)
-    told = mentions.withColumnRenamed("source", "chunk_id").join(c.select("topic_id", "chunk_id", F.col("text").alias("source")), ["topic_id", "chunk_id"])
-    for name, rows in (("retrieved_equations", told), ("related_equations", related)):
-        listed = rows.select("topic_id", F.coalesce("source", F.lit("")).alias("source"), "target").distinct().groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("target", "source"))).alias("n"))
+    retrieved, related = topic_equations(c, edges)
+    for name, rows in (("retrieved_equations", retrieved), ("related_equations", related)):
+        listed = rows.distinct().groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("target", "source"))).alias("n"))
         pairs = F.transform("n", lambda x: F.struct(x.source.alias("source"), x.target.alias("target")))
         whole = whole.join(listed.select("topic_id", pairs.alias(name)), "topic_id", "left")
     filled = {k: F.coalesce(F.col(k), F.array().cast(whole.schema[k].dataType)) for k in whole.columns if k != "topic_id"}

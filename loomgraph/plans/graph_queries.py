@@ -11,6 +11,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import questions as B
 from loomgraph.operators import relations as R
 from loomgraph.plans import common as K
+from loomgraph.runtime import materialize
 from loomgraph.sources.tables import load
 
 query = K.Catalogue()
@@ -212,13 +213,12 @@ SELECT topic, difficulty, sha256(concat_ws(chr(1), topic, difficulty, nodes)) AS
 )
 def question_bank(spark: SparkSession, folder: str) -> DataFrame:
     """Questions of every topic and difficulty: its concepts, its best paths of two edges, and of three."""
-    p = _packets(spark, folder)
-    easy = p.select(F.col("topic_id").alias("topic"), F.explode("core_concepts").alias("name"))
+    c = materialize(G.topic_chunks(K.chunks(spark, folder), "entities"))
+    easy = G.topic_names(c).select(F.col("topic_id").alias("topic"), "name")
     out = easy.select("topic", F.lit("easy").alias("difficulty"), F.sha2(F.concat_ws("\x01", "topic", F.lit("easy"), "name"), 256).alias("question_id"), F.concat(F.lit("What is "), "name", F.lit("?")).alias("question"), F.col("name").alias("primary_concept"))
+    found = G.topic_paths(materialize(G.undirected(G.topic_graph(c, load(spark, folder, "entity_edges")), ("topic_id",))))
     for difficulty, hops in (("medium", "2_hop"), ("hard", "3_hop")):
-        walks = p.select(F.col("topic_id").alias("topic"), F.explode(F.col("concept_paths")[hops]["path"]).alias("w"))
-        nodes = F.array_join(F.concat(F.array(F.get("w", F.lit(0))["source"]), F.transform("w", lambda e: e.target)), " > ")
-        out = out.unionByName(B.template_questions(walks.select("topic", nodes.alias("nodes")), F.col("topic"), difficulty))
+        out = out.unionByName(B.template_questions(found[hops].select(F.col("topic_id").alias("topic"), "nodes"), F.col("topic"), difficulty))
     return out
 
 

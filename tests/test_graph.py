@@ -122,6 +122,29 @@ def test_packet_and_rendered_context(spark, tmp_path):
     assert packet["t"].supporting_chunks == "Text one. | Text two." and packet["t"].concept_paths_2_hop == "\n".join(two) and packet["u"].core_concepts == "a | b | d"
 
 
+def packet_tables(spark, folder):
+    ents = lambda *names: [(n, n, "equation" if "=" in n else "concept", 1.0) for n in names]
+    rows = [(f"c{i}", "tuv"[i % 3], "s", [None, "Alike.", "Alike.", f"Text {i}, it's 'ön'.", ""][i % 5], ents("a", "b", f"n{i % 7}", "x = 1", f"y = {i % 4}")) for i in range(40)] + [("lone", "w", "s", None, None)]
+    spark.createDataFrame([(*r[:4], [1.0] * 64, r[4]) for r in rows], f"chunk_id string, document_id string, source_id string, text string, embeddings array<double>, entities {ENT}").write.parquet(f"{folder}/chunks.parquet")
+    edges = [(f"c{i % 40}", "abx"[i % 3] if i % 3 < 2 else "x = 1", ["uses", "co_occurs"][i % 2], f"n{i % 5}", ["semantic", "contextual"][i % 2], 0.5 + i % 50 / 100, str(i)) for i in range(120)]
+    edge_frame(spark, edges).write.parquet(f"{folder}/entity_edges.parquet")
+
+
+def gathers(df):
+    """Whether a topic's gathered values are joined to its row, so that all of them pass the joins at once."""
+    return "LeftOuter" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_question_bank_gathers_no_topic(spark, tmp_path):
+    from loomgraph.plans import graph_queries
+
+    packet_tables(spark, tmp_path)
+    bank = graph_queries.question_bank(spark, str(tmp_path))
+    assert not gathers(bank)
+    got = {(r.topic, r.difficulty, r.question, r.primary_concept) for r in bank.collect()}
+    assert ("t", "easy", "What is y = 3?", "y = 3") in got and {d for _, d, _, _ in got} == {"easy", "medium", "hard"} and {t for t, _, _, _ in got} == {"t", "u", "v"}
+
+
 def test_pages_to_knowledge(spark):
     page = lambda t: f"<html><body><div class='toc'>x</div><p>{t}</p></body></html>"
     rows = [(1, "t", "s", page("Adam builds upon SGD. Adam needs momentum.")), (2, "t", "s", page("SGD and Adam differ much here.")), (3, "u", "s", "<p>no root</p>"), (4, "u", None, None), (5, "u", "s", page("Nothing said.")), (1, "t", "s", page("Adam builds upon SGD. Adam needs momentum."))]
