@@ -6,26 +6,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scoring as S
 from loomgraph.operators.search import vector_topk
 
-#: Chunks of a block, and chunks that are compared with two blocks at a time.
-BLOCK, ROWS = 4096, 128
+#: Chunks of a block: the least and the most; copies of a chunk on the average from which blocks are made larger, up to the most.
+BLOCK, MOST, COPIES = 4096, 32768, 2.5
+#: Similarities that are computed at a time.
+CELLS = 2**20
 
 
 def chunk_edges(chunks: DataFrame, scope: list[str], threshold: float = S.CHUNK_SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Pairs of a scope's chunks with cosine of at least ``threshold`` or a shared entity, the smaller id first.
 
-    A scope of more than ``block`` chunks is dealt into blocks by the id's hash, and every two of its blocks (and each with
-    itself) meet in one task: there the entities by an inverted index, the vectors by a matrix product, ROWS chunks at a
+    A scope of more than a block of chunks is dealt into blocks by the id's hash, and every two of its blocks (and each with
+    itself) meet in one task: there the entities by an inverted index, the vectors by a matrix product, CELLS pairs at a
     time. So pairs are never shuffled, and a hot scope is spread over tasks. Chunks without usable vector, or with one of
-    another length, have a null similarity. Result: source_chunk, target_chunk, shared_entities (sorted), similarity (6 places).
+    another length, have a null similarity. A chunk is copied to all blocks of its scope, so with blocks of one size the
+    shuffle would grow as the scopes' square: from ``block`` on they are doubled, eight times at most, until COPIES
+    suffice on the average. Result: source_chunk, target_chunk, shared_entities (sorted), similarity (6 places).
     """
     known = chunks.where(" and ".join(f"{c} is not null" for c in ["chunk_id", *scope]))
-    large = known.groupBy(*scope).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = [block * 2**i for i in range((MOST // BLOCK).bit_length())]
+    counted = known.groupBy(*scope).agg(F.count("*").alias("n"))
+    fits = [F.sum(F.col("n") * F.ceil(F.col("n") / b)) <= COPIES * F.sum("n") for b in sizes[:-1]]
+    size = counted.agg(F.coalesce(*[F.when(ok, b) for ok, b in zip(fits, sizes)], F.lit(sizes[-1])).alias("size"))
+    large = counted.crossJoin(F.broadcast(size)).select(*scope, F.ceil(F.col("n") / F.col("size")).cast("int").alias("blocks")).where("blocks > 1")
     own = known.select(*scope, "chunk_id", F.when(~F.exists("embeddings", lambda x: x.isNull()), S.doubles(F.col("embeddings"))).alias("v"), F.array_compact(F.array_distinct("entities.normalized_text")).alias("e"))
     rows = own.join(F.broadcast(large), scope, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
     met = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -61,18 +70,18 @@ def _block_edges(held: list[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
     side = t.column("_block").to_numpy()
     within = t.column("_x")[0].as_py() == t.column("_y")[0].as_py()
-    # vectors by their length
-    vectors, groups = t.column("v").to_pylist(), {}
-    for i, v in enumerate(vectors):
-        if v:
-            groups.setdefault(len(v), []).append(i)
+    # vectors by their length, read from the column's own memory
+    v = t.column("v").combine_chunks()
+    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+    length, begin, values = pc.fill_null(pc.list_value_length(v), 0).to_numpy(), v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
     sized = []
-    for own in groups.values():
-        m = np.array([vectors[i] for i in own], float)
+    for size in sorted(set(length.tolist()) - {0}):
+        own = np.flatnonzero(length == size)
+        m = values[begin[:-1][own][:, None] + np.arange(size)]
         with np.errstate(invalid="ignore", over="ignore"):
             norm = np.linalg.norm(m, axis=1, keepdims=True)
-            sized.append((np.array(own), m / np.where(norm == 0, 1, norm)))
-    del vectors
+            sized.append((own, m / np.where(norm == 0, 1, norm)))
+    del v, values
     # entities by their rank, as postings
     listed = t.column("e").to_pylist()
     names = sorted({x for e in listed for x in e or ()})
@@ -82,8 +91,9 @@ def _block_edges(held: list[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
     entity = np.fromiter((rank[x] for e in listed for x in e or ()), np.int64, len(owner))
     by = np.argsort(entity, kind="stable")
     posting, first = owner[by], np.searchsorted(entity[by], np.arange(len(names) + 1))
-    for a in range(0, n, ROWS):
-        z = min(n, a + ROWS)
+    step = max(1, CELLS // n)
+    for a in range(0, n, step):
+        z = min(n, a + step)
         sims = np.full((z - a, n), np.nan)
         measured = np.zeros((z - a, n), bool)
         for own, m in sized:

@@ -125,6 +125,29 @@ def test_edges_across_sources_and_blocks(spark, tmp_path):
     assert {(r.source_chunk, r.target_chunk) for r in retrieval.chunk_edges(spark, str(tmp_path)).collect()} == set(want)
 
 
+def test_copies_of_a_chunk_are_bounded(spark):
+    n, block = 600, 10
+    c = spark.range(n).selectExpr("concat('c', id) chunk_id", "'t' document_id", "array(1d, cast(id as double)) embeddings", "cast(array() as array<struct<text:string,normalized_text:string,label:string,score:double>>) entities")
+    edges = G.chunk_edges(c, ["document_id"], threshold=2.0, block=block)
+    assert edges.count() == 0
+    copies = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if name.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage")):
+            return walk(node.plan())
+        if name == "Generate":
+            copies.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    edges.collect()
+    walk(edges._jdf.queryExecution().executedPlan())
+    assert copies and max(copies) <= n * -(-n // (8 * block))  # not n / block each
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()]
