@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import rendering as X
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
+from loomgraph.operators import packets as P
 from loomgraph.operators import questions as B
 from loomgraph.operators import relations as R
 from loomgraph.plans import common as K
@@ -174,16 +175,14 @@ packet AS (SELECT topic.t AS topic_id, coalesce(max(text) FILTER (kind = 'core')
   coalesce(max(text) FILTER (kind = 'retrieved'), 'None') AS retrieved_equations, coalesce(max(text) FILTER (kind = 'related'), 'None') AS related_equations FROM topic LEFT JOIN lists ON lists.t = topic.t GROUP BY 1)"""
 
 
-def _packets(spark: SparkSession, folder: str) -> DataFrame:
-    return G.topic_packets(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
-
-
 @query(_PACKET + " SELECT topic_id, core_concepts, supporting_chunks, concept_paths_2_hop, concept_paths_3_hop, retrieved_equations, related_equations FROM packet")
 def topic_packet(spark: SparkSession, folder: str) -> DataFrame:
     """Texts and concepts joined, paths and equations as in the prompts."""
-    text = lambda c: F.array_join(c, " | ").alias(c)
-    p = _packets(spark, folder)
-    return p.select("topic_id", text("core_concepts"), text("supporting_chunks"), *[X.render_paths(F.col("concept_paths")[k]).alias(f"concept_paths_{k}") for k in ("2_hop", "3_hop")], *[X.render_equations(F.col(k)).alias(k) for k in ("retrieved_equations", "related_equations")])
+    return P.packet_texts(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
+
+
+def _packets(spark: SparkSession, folder: str) -> DataFrame:
+    return G.topic_packets(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
 
 
 @query(

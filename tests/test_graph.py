@@ -145,6 +145,30 @@ def test_question_bank_gathers_no_topic(spark, tmp_path):
     assert ("t", "easy", "What is y = 3?", "y = 3") in got and {d for _, d, _, _ in got} == {"easy", "medium", "hard"} and {t for t, _, _, _ in got} == {"t", "u", "v"}
 
 
+def packets_as_rendered(spark, folder):
+    from loomgraph.functions import rendering as X
+    from loomgraph.plans import common as K
+
+    p = G.topic_packets(K.chunks(spark, folder), spark.read.parquet(f"{folder}/entity_edges.parquet"))
+    text = {k: X.render_paths(F.col("concept_paths")[k]) for k in ("2_hop", "3_hop")} | {k: X.render_equations(F.col(k)) for k in ("retrieved_equations", "related_equations")}
+    return p.withColumns({f"_{k}": v for k, v in text.items()})
+
+
+def test_packets_pass_in_order(spark, tmp_path):
+    from loomgraph.plans import graph_queries
+
+    packet_tables(spark, tmp_path)
+    want = packets_as_rendered(spark, str(tmp_path)).select("topic_id", F.array_join("core_concepts", " | "), F.array_join("supporting_chunks", " | "), "_2_hop", "_3_hop", "_retrieved_equations", "_related_equations").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # repeated rows and topics reach over batches
+    try:
+        packets = graph_queries.topic_packet(spark, str(tmp_path))
+        assert not gathers(packets)
+        assert sorted(tuple(r) for r in packets.collect()) == sorted(tuple(r) for r in want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ("w", "", "", "", "", "None", "None") in {tuple(r) for r in want}
+
+
 def test_pages_to_knowledge(spark):
     page = lambda t: f"<html><body><div class='toc'>x</div><p>{t}</p></body></html>"
     rows = [(1, "t", "s", page("Adam builds upon SGD. Adam needs momentum.")), (2, "t", "s", page("SGD and Adam differ much here.")), (3, "u", "s", "<p>no root</p>"), (4, "u", None, None), (5, "u", "s", page("Nothing said.")), (1, "t", "s", page("Adam builds upon SGD. Adam needs momentum."))]
