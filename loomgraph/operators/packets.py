@@ -112,3 +112,17 @@ def packet_texts(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
     separators = {CORE: " | ", TEXTS: " | ", RETRIEVED: "\n", RELATED: "\n", TWO: "\n", THREE: "\n"}
     return gathered(packet_rows(chunks, edges), separators, finish, ["core_concepts", "supporting_chunks", "concept_paths_2_hop", "concept_paths_3_hop", "retrieved_equations", "related_equations"])
+
+
+def contexts(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row per topic and difficulty: its context as rendering.render_context() makes it."""
+
+    def finish(p: dict[int, bytearray]) -> Iterator[list[list[bytes]]]:
+        listed = lambda k: [b"['", p.pop(k), b"']"] if k in p else [b"[]"]
+        common = [b"## Available Entities\n", *listed(CORE), b"\n\n## Supporting Knowledge\n", *listed(TEXTS), b"\n"]
+        for difficulty, paths, equations, a, b in ((b"medium", TWO, RETRIEVED, b"## Concept Paths (2-Hop)", b"## Retrieved Equations"), (b"hard", THREE, RELATED, b"## Concept Paths (3-Hop)", b"## Related Equations")):
+            yield [[difficulty], [*common, b"\n", a, b"\n", p.pop(paths, b""), b"\n\n", b, b"\n", p.pop(equations, b"None"), b"\n"]]
+        yield [[b"easy"], common]
+
+    separators = {CORE: "', '", TEXTS: "', '", RETRIEVED: "\n", RELATED: "\n", TWO: "\n", THREE: "\n"}
+    return gathered(packet_rows(chunks, edges), separators, finish, ["difficulty", "context"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import rendering as X
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
 from loomgraph.operators import packets as P
@@ -181,10 +180,6 @@ def topic_packet(spark: SparkSession, folder: str) -> DataFrame:
     return P.packet_texts(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
 
 
-def _packets(spark: SparkSession, folder: str) -> DataFrame:
-    return G.topic_packets(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
-
-
 @query(
     _PACKET
     + """ SELECT topic_id, difficulty, '## Available Entities' || chr(10) || core || chr(10) || chr(10) || '## Supporting Knowledge' || chr(10) || texts || chr(10) || CASE difficulty
@@ -194,10 +189,7 @@ FROM packet, (SELECT unnest(['easy', 'medium', 'hard']) AS difficulty)"""
 )
 def rendered_context(spark: SparkSession, folder: str) -> DataFrame:
     """The prompts' contexts per topic and difficulty, with the paths that start at the topic's concepts."""
-    rows = _packets(spark, folder).withColumn("difficulty", F.explode(F.array(*map(F.lit, ("easy", "medium", "hard")))))
-    two, three = (X.render_paths(F.col("concept_paths")[k]) for k in ("2_hop", "3_hop"))
-    text = X.render_context(F.col("difficulty"), X.render_list(F.col("core_concepts")), X.render_list(F.col("supporting_chunks")), two, three, X.render_equations(F.col("retrieved_equations")), X.render_equations(F.col("related_equations")))
-    return rows.select("topic_id", "difficulty", text.alias("context"))
+    return P.contexts(K.chunks(spark, folder), load(spark, folder, "entity_edges"))
 
 
 _RANKED = "(SELECT *, row_number() OVER (PARTITION BY t, entity, quality ORDER BY path_score DESC, nodes) AS path_rank FROM {q}) WHERE path_rank <= CASE WHEN quality = 'strong' THEN {strong} ELSE {weak} END"

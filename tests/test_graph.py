@@ -169,6 +169,23 @@ def test_packets_pass_in_order(spark, tmp_path):
     assert ("w", "", "", "", "", "None", "None") in {tuple(r) for r in want}
 
 
+def test_contexts_pass_in_order(spark, tmp_path):
+    from loomgraph.functions import rendering as X
+    from loomgraph.plans import graph_queries
+
+    packet_tables(spark, tmp_path)
+    rows = packets_as_rendered(spark, str(tmp_path)).withColumn("difficulty", F.explode(F.array(*map(F.lit, ("easy", "medium", "hard")))))
+    text = X.render_context(F.col("difficulty"), X.render_list(F.col("core_concepts")), X.render_list(F.col("supporting_chunks")), *map(F.col, ("_2_hop", "_3_hop", "_retrieved_equations", "_related_equations")))
+    want = {tuple(r) for r in rows.select("topic_id", "difficulty", text).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = graph_queries.rendered_context(spark, str(tmp_path))
+        assert not gathers(got) and got.count() == 12
+        assert {tuple(r) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pages_to_knowledge(spark):
     page = lambda t: f"<html><body><div class='toc'>x</div><p>{t}</p></body></html>"
     rows = [(1, "t", "s", page("Adam builds upon SGD. Adam needs momentum.")), (2, "t", "s", page("SGD and Adam differ much here.")), (3, "u", "s", "<p>no root</p>"), (4, "u", None, None), (5, "u", "s", page("Nothing said.")), (1, "t", "s", page("Adam builds upon SGD. Adam needs momentum."))]
