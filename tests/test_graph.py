@@ -210,6 +210,21 @@ def test_pages_to_knowledge(spark):
     assert knowledge.build(pages.where("false"), catalog, verbs).chunk_edges.count() == 0
 
 
+def test_build_leaves_no_text_behind(spark):
+    from pathlib import Path
+
+    rows = [(1, "t", "s", "Adam builds upon SGD."), (1, "u", "s", "Another text."), (2, "t", "s", "")]
+    pages = spark.createDataFrame([(*r[:3], f"<html><body><div class='toc'>x</div><p>{r[3]}</p></body></html>") for r in rows], "page_id long, topic_id string, source_id string, html string")
+    catalog = spark.createDataFrame([(1, "adam", "m", None)], "entity_no int, name string, label string, aliases array<string>")
+    folder = Path(runtime.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("cut-*"))
+    k = knowledge.build(pages, catalog, spark.createDataFrame([("extends", ["builds upon"])], "relation string, phrases array<string>"))
+    left = [spark.read.parquet(str(p)).columns for p in set(folder.glob("cut-*")) - before]
+    assert sum("text" in c for c in left) == 1 and len(left) == 2
+    assert {(r.document_id, r.text) for r in k.chunks.collect()} == {("t", "Adam builds upon SGD."), ("u", "Another text.")}  # each page's own
+    assert k.chunk_edges.count() == 0 and [r.item for r in k.rejected.collect()] == ["2"]
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 3), (7, 6), (7, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a int, b int"), "a", "b").collect()}
