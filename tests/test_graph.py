@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import runtime
 from loomgraph.operators import graph as G
-from loomgraph.operators import knowledge
+from loomgraph.operators import chunking, knowledge
 from loomgraph.operators import questions as B
 from loomgraph.operators import references as R
 from loomgraph.operators import relations as L
@@ -225,6 +225,42 @@ def test_build_leaves_no_text_behind(spark):
     assert k.chunk_edges.count() == 0 and [r.item for r in k.rejected.collect()] == ["2"]
 
 
+def test_build_shuffles_no_text_or_vector_twice(spark, monkeypatch):
+    import os
+    import re
+    import time
+
+    from pyspark.sql import DataFrameWriter
+
+    shuffles = lambda: sum(f.startswith("shuffle_") for p in spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark._jsc.sc().conf()) for _, _, fs in os.walk(p) for f in fs)
+    rows = [(i, "t", "s", f"<html><body><div class='toc'>x</div><p>Adam builds upon SGD {i}.</p></body></html>") for i in [*range(20), 3]]
+    pages = spark.createDataFrame(rows, "page_id long, topic_id string, source_id string, html string")
+    catalog = spark.createDataFrame([(1, "adam", "m", None), (2, "sgd", "m", None)], "entity_no int, name string, label string, aliases array<string>")
+    verbs = spark.createDataFrame([("extends", ["builds upon"])], "relation string, phrases array<string>")
+    written, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, *a, **k):
+        before = shuffles()
+        write(self, path, *a, **k)
+        written.append((self._df, shuffles() - before))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    k = knowledge.build(pages, catalog, verbs)
+    monkeypatch.undo()
+    assert k.chunks.count() == 20 and k.chunk_edges.count() == 190
+    assert len(written) == 4 and all(left <= 0 for _, left in written)  # a table's shuffles go as soon as it is written
+    plan = written[-1][0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Exchange")  # vectors are made after the last shuffle
+    scans = {re.sub(r"#\d+", "", x.split("DataFilters")[1].split("Format")[0]) for x in plan.splitlines() if "FileScan parquet [chunk_id" in x}
+    assert len(scans) == 1 and plan.count("REPARTITION_BY_COL") == 2  # alike, so that the chunks are dealt once for both uses
+
+    def embed(items, key, text):  # a provider that fails on one chunk
+        return chunking.embed(items.where(~F.col(text).contains("SGD 7.")), key, text)
+
+    k = knowledge.build(pages, catalog, verbs, knowledge.Providers(embed=embed))
+    assert k.chunks.count() == 19 and [r.reason for r in k.rejected.collect()] == ["embeddings of 64 to 64"]
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 3), (7, 6), (7, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a int, b int"), "a", "b").collect()}

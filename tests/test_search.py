@@ -148,6 +148,51 @@ def test_copies_of_a_chunk_are_bounded(spark):
     assert copies and max(copies) <= n * -(-n // (8 * block))  # not n / block each
 
 
+def shuffled_bytes(df):
+    """Bytes that the shuffles of a collected frame wrote."""
+    total = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if name.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage")):
+            return walk(node.plan())
+        if name == "Exchange":
+            total.append(node.metrics().apply("shuffleBytesWritten").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(total)
+
+
+def test_copies_travel_packed(spark):
+    from hashlib import sha256
+
+    rng = np.random.default_rng(8)
+    ent = "array<struct<text:string,normalized_text:string,label:string,score:double>>"
+    n, rows = 1200, []
+    for i in range(n):
+        v = rng.poisson(0.6, 64) * rng.choice([-1.0, 1.0], 64)
+        v = (v / np.linalg.norm(v)).tolist()
+        v = [None, v[:63], [], [math.nan, *v[1:]], [-0.0, *v[1:]]][i % 5] if i < 40 else v
+        rows.append((sha256(b"%d" % i).hexdigest(), "t", v, [(x, x, "l", 1.0) for x in [f"e{i % 300}"]]))
+    c = spark.createDataFrame(rows, f"chunk_id string, document_id string, embeddings array<double>, entities {ent}")
+    want = {}
+    by = sorted(rows)
+    for k, a in enumerate(by):
+        for b in by[k + 1 :]:
+            shared = sorted({e[1] for e in a[3]} & {e[1] for e in b[3]})
+            cos = None if not a[2] or not b[2] or len(a[2]) != len(b[2]) else float(np.round(np.dot(a[2], b[2]) / np.linalg.norm(a[2]) / np.linalg.norm(b[2]), 6)) + 0.0
+            if shared or (cos is not None and cos >= 0.5):
+                want[a[0], b[0]] = (shared, str(cos))
+    edges = G.chunk_edges(c, ["document_id"], threshold=0.5, block=100)
+    found = edges.collect()
+    assert len(found) == len(want) and {(r.source_chunk, r.target_chunk): (r.shared_entities, str(r.similarity)) for r in found} == want
+    assert shuffled_bytes(edges) < 2 * n * 150  # two copies a chunk; 64 numbers alone take 512 bytes
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()]
